@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import enrichment, fusion, knn, neardup, splitting
+from tessera.llm import enrichment, fusion, knn, neardup, pii, sentences, splitting
 from tessera.runtime import table
 
 
@@ -69,7 +69,28 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.classes(table(spark, d, "sketch_entries").select("frame_id", "simhash", "term_filter", "updated_at"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = pii.texts_of(table(spark, d, "replay_actions"), table(spark, d, "audit_reports"))
+    return pii.extract(texts).select("source_table", "row_id", "field", "pii_type", "char_start")
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    texts = pii.texts_of(table(spark, d, "replay_actions"), table(spark, d, "audit_reports"))
+    keys = ["source_table", "row_id", "field"]
+    return pii.redact(texts, keys, pii.extract(texts)).select(*keys, "redacted")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.units(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "sent_start")
+
+
+def p10_units(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.units(table(spark, d, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p2_found": p2_found,
     "p2_ranking": p2_ranking,
     "p3_found": p3_found,
@@ -80,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_worth": p5_worth,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
+    "p10_found": p10_found,
+    "p10_units": p10_units,
 }
 
 LISTS = """
