@@ -233,7 +233,7 @@ def graph_scores(found: DataFrame, rounds: int = 3, enough: float = 0.5) -> tupl
         pattern = pattern.withColumn("score", F.expr(f"if(grp = 'NUMBER', least(1D, score / ({LIFT} * base)), score)")).select("grp", "pattern", "type", "score").where("score > 0.05")
         pattern = cut(pattern)
         back = flat.join(pattern, ["grp", "pattern"]).groupBy("grp", "key", "type").agg((F.sum(F.col("occ") * F.col("score")) / 2).alias("got"))
-        learned = back.join(keys, ["grp", "key"]).where("grp <> 'NAME' or others >= 3").select("grp", "key", "type", (F.col("got") / (F.col("total") + 1.0)).alias("score")).where(f"score > {enough} * 0.6")
+        learned = back.join(keys, ["grp", "key"]).where("grp <> 'NAME' or others >= 3").select("grp", "key", "type", (F.col("got") / (F.col("total") + 1.0)).alias("score")).where("score > 0.15")
         trust = cut(learned.unionByName(seeds).groupBy("grp", "key", "type").agg(F.max("score").alias("score")))
     people = edges.where("grp = 'NAME'").join(pattern, ["grp", "pattern"], "left")
     fam = people.groupBy("other").agg((F.sum(F.col("occ") * F.coalesce("score", F.lit(0.0))) / (F.sum("occ") + 1.0)).alias("family_score"))
@@ -261,7 +261,7 @@ def extract(texts: DataFrame, enough: float = 0.5) -> DataFrame:
     numbers = near.where(f"grp = 'NUMBER' and (key_score >= {enough} or (key_score >= {enough} * 0.6 and ctx >= {enough}))")
     numbers = numbers.select(*names, "start", "stop", F.col("type").alias("pii_type"), (F.col("key_score") + 0.2 * F.col("ctx")).alias("prior"), F.lit(1.0).alias("support"))
     people = near.where("grp = 'NAME'").join(family, "other", "left")
-    people = people.where(f"(key_score >= {enough} or key = '<initial>' or ctx >= {enough}) and (ctx >= {enough} or coalesce(family_score, 0) >= {enough} * 0.6)")
+    people = people.where(f"(key_score >= {enough} or key = '<initial>' or (key_score > 0.15 and ctx >= {enough})) and (ctx >= {enough} or coalesce(family_score, 0) >= {enough} * 0.6)")
     people = people.select(*names, "start", "stop", F.lit("NAME").alias("pii_type"), (F.col("key_score") + F.coalesce("family_score", F.lit(0.0))).alias("prior"), F.lit(0.5).alias("support"))
     every = reduce(DataFrame.unionByName, [fixed, numbers, people])
     # accepted mentions of one text: a few

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import enrichment, fusion, knn, neardup, pii, sentences, splitting
+from tessera.llm import enrichment, fusion, knn, names, neardup, pii, sentences, splitting
 from tessera.runtime import table
 
 
@@ -80,6 +80,13 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(texts, keys, pii.extract(texts)).select(*keys, "redacted")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "extracted_entities").where("mention_id is not null").select(F.lit("extracted_entities").alias("source_table"), F.col("mention_id").alias("row_id"), "text")
+    r = table(spark, d, "extraction_rules").where("rule_id is not null").select(F.lit("extraction_rules").alias("source_table"), F.col("rule_id").alias("row_id"), F.col("entity").alias("text"))
+    linked = names.link(m.unionByName(r).distinct(), table(spark, d, "known_entities"))
+    return linked.select("source_table", "row_id", "entity_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.units(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "sent_start")
 
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_worth": p5_worth,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
+    "p7_found": p7_found,
     "p10_found": p10_found,
     "p10_units": p10_units,
 }
