@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import enrichment, fusion, knn, names, neardup, pii, sentences, splitting
-from tessera.runtime import table
+from tessera.llm import enrichment, fusion, knn, mixing, names, neardup, packing, pii, sentences, splitting
+from tessera.runtime import cut, table
 
 
 def report_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +87,26 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return linked.select("source_table", "row_id", "entity_id")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    sized = cut(packing.token_sizes(table(spark, d, "documents").select("doc_id", "text")))
+    return packing.pack(sized)
+
+
+def sized_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their tokens and a quality weight: the share of letters in the text."""
+    letters = F.expr("0.05D + length(regexp_replace(text, '[^\\\\p{L}\\\\p{M}]', '')) / length(text)")
+    return cut(packing.token_sizes(table(spark, d, "documents").where("text <> ''").select("doc_id", "source", letters.alias("weight"), "text")))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(sized_sources(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(sized_sources(spark, d), targets), targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.units(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "sent_start")
 
@@ -109,6 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_classes": p6_classes,
     "p7_found": p7_found,
+    "p8_containers": p8_containers,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_units": p10_units,
 }
