@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ EMAILS = [
 WRAPPED = re.compile(r"[(\[{<]\s*at\s*[)\]}>]", re.I)
 NUMBER = re.compile(r"(?<![\w.:/@#-])(?<!\d[ \xa0])(?:\+ ?|\()?\d++(?:(?:[ \xa0.\-/–()]|\) | \(|-\(|\)-|\(0\))*+\d++)*+(?![\w@])")
 CODE = re.compile(r"(?<![\w./:@#-])(?:[A-Z]{1,2}[ -]?\d(?:[ -]?\d){5,9}(?:[ -]?[A-Z])?|\d{7,8}[ -]?[A-Z]|[A-Z]{1,2}\d{1,8}[A-Z]{1,3}\d{2,8}[A-Z]?)(?![\w-])")
-HOUSE = re.compile(r"(?<![\w.:/-])\d{1,5}(?![\d:])")
+HOUSE = re.compile(r"(?<![\w.:/-])\d{1,5}(?![\d:])(?=[A-Z]?(?:[-/]\d{1,4})?,?[ \xa0]|\s?(?:bis|ter|[a-d])\b)")
 FRONT = re.compile(rf"\d{{1,5}}[A-Z]?(?:[-/]\d{{1,4}})?,?[ \xa0](?:(?:[{UP}][\w'’.-]*|\d+(?:st|nd|rd|th))[ \xa0]){{1,4}}?(?=[{UP}])(?i:{ROADS})\b(?![-\w])")
 RUE = re.compile(rf"\d{{1,5}}(?:\s?(?:bis|ter|[a-d]))?,?\s(?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|allee|impasse|quai|cours|route|square|passage)\s(?:(?:de|du|des|la|le|les|l'|d')\s?)*(?:{L}|['’-])+(?-i:[ -][{UP}](?:{L}|['’-])+){{0,2}}", re.I)
 CALLE_WORDS = ("c/", "calle", "avda", "avenida", "plaza", "pza", "paseo", "camino", "carrer", "ronda", "via ", "viale", "piazza", "corso", "rua ")
@@ -71,24 +71,26 @@ DIGITS, LETTERS = re.compile(r"\d"), re.compile(r"[A-Z]")
 #: Times likelier than anywhere at which a pattern of numbers is fully trusted.
 LIFT = 10.0
 
-SCHEMA = "start int, stop int, grp string, key string, other string, value string, lpat string, rpat string, seed string, prior double"
+SCHEMA = "start int, stop int, grp string, key string, other string, value string, lpat string, rpat string, seed int, prior double"
 
 
 def _context(text: str, a: int, b: int) -> tuple[str, str]:
-    left = TOKEN.findall(text[max(0, a - 28) : a])
-    if a > 28 and left and not text[a - 29 : a - 28].isspace():
+    left = TOKEN.findall(DIGITS.sub("0", text[max(0, a - 28) : a].lower()))
+    if len(left) < 3 and a > 28 and left and not text[a - 29 : a - 28].isspace():
         left = left[1:]
-    right = TOKEN.findall(text[b : b + 20])[:2]
-    norm = lambda t: DIGITS.sub("0", t.lower())
-    return " ".join(norm(t) for t in left[-2:]) or "^", " ".join(norm(t) for t in [*left[-1:], "_", *right[:1]])
+    right = TOKEN.search(text, b, b + 14)
+    return " ".join(left[-2:]) or "^", f"{left[-1] if left else ''} _ {DIGITS.sub('0', right.group().lower()) if right else ''}"
 
 
 def candidates(text: str) -> list[tuple]:
-    """Loose candidates: (start, stop, group, key, other key, value, left pattern, around pattern, seed type, prior)."""
+    """Loose candidates: (start, stop, group, key, other key, value, left pattern, around pattern, seed, prior).
+
+    seed is 1, 2, 3 for an unmistakable PHONE, ID_NUMBER, NAME, else 0.
+    """
     out: list[tuple] = []
     taken: list[tuple[int, int]] = []
 
-    def add(a: int, b: int, grp: str, key: str, seed: str | None, prior: float = 0.0, other: str = "") -> None:
+    def add(a: int, b: int, grp: str, key: str, seed: int, prior: float = 0.0, other: str = "") -> None:
         lpat, rpat = _context(text, a, b)
         out.append((a, b, grp, key, other, text[a:b].lower(), lpat, rpat, seed, prior))
 
@@ -99,7 +101,7 @@ def candidates(text: str) -> list[tuple]:
             if sign == "at" or sign in text:
                 for m in pattern.finditer(text):
                     if free(*m.span()):
-                        add(m.start(), m.end(), "EMAIL", key, "EMAIL", 1.0)
+                        add(m.start(), m.end(), "EMAIL", key, 0, 1.0)
                         taken.append(m.span())
     if HAS_DIGIT.search(text):
         streets = []
@@ -115,12 +117,12 @@ def candidates(text: str) -> list[tuple]:
         for key, m in streets:
             end = TAIL.match(text, m.end()).end()
             if free(m.start(), end):
-                add(m.start(), end, "ADDRESS", key, "ADDRESS", 1.0)
+                add(m.start(), end, "ADDRESS", key, 0, 1.0)
                 taken.append((m.start(), end))
         for m in CODE.finditer(text):
             v = m.group()
             if len(DIGITS.findall(v)) >= 6 and free(*m.span()):
-                add(m.start(), m.end(), "NUMBER", DIGITS.sub("0", LETTERS.sub("A", v.replace("\xa0", " "))), None)
+                add(m.start(), m.end(), "NUMBER", DIGITS.sub("0", LETTERS.sub("A", v.replace("\xa0", " "))), 0)
                 taken.append(m.span())
         for m in NUMBER.finditer(text):
             a, b = m.span()
@@ -142,7 +144,7 @@ def candidates(text: str) -> list[tuple]:
                 shape = DIGITS.sub("0", v)
                 if not 7 <= shape.count("0") <= 16:
                     continue
-                seed = "PHONE" if PHONE_SEED.fullmatch(shape) else "ID_NUMBER" if shape == "000-00-0000" else None
+                seed = 1 if PHONE_SEED.fullmatch(shape) else 2 if shape == "000-00-0000" else 0
                 add(x, y, "NUMBER", shape, seed)
     seen: set[tuple[int, int]] = set()
     for m in RUN.finditer(text):
@@ -178,7 +180,7 @@ def _name(text: str, first: tuple, last: tuple, seen: set, add, lower: bool = Fa
         return
     seen.add((a, b))
     key = "<initial>" if len(given) == 1 else given
-    add(a, b, "NAME", key, "NAME" if given in GIVEN else None, 0.0, family)
+    add(a, b, "NAME", key, 3 if given in GIVEN else 0, 0.0, family)
 
 
 def texts_of(actions: DataFrame, reports: DataFrame) -> DataFrame:
@@ -196,13 +198,22 @@ def scan(texts: DataFrame) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", " + SCHEMA
     names = [f.name for f in keep]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [*names, *[c.split()[0] for c in SCHEMA.split(", ")]]
+    kinds = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    added = [(c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(*k, *c) for k, t in zip(b[names].itertuples(index=False, name=None), b.text) for c in candidates(t)]
-            yield pd.DataFrame(rows, columns=columns).astype({"start": "int32", "stop": "int32", "prior": "float64"})
+            rows, owner = [], []
+            for i, t in enumerate(b.column("text").to_pylist()):
+                found = candidates(t)
+                rows += found
+                owner += [i] * len(found)
+            if rows:
+                own = pa.array(owner, pa.int32())
+                kept = [b.column(n).take(own) for n in names]
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, (_, t) in zip(zip(*rows), added)]], [*names, *[n for n, _ in added]])
 
-    return texts.mapInPandas(run, schema)
+    return texts.select(*names, "text").mapInArrow(run, schema)
 
 
 def graph_scores(found: DataFrame, rounds: int = 3, enough: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -219,7 +230,7 @@ def graph_scores(found: DataFrame, rounds: int = 3, enough: float = 0.5) -> tupl
     values = values.select("grp", "key", "other", "seed", "value", "occ", pats).groupBy("grp", "pattern", "key", "other", "value").agg(F.max("seed").alias("seed"), F.sum("occ").alias("occ"))
     edges = cut(values.groupBy("grp", "pattern", "key", "other").agg(F.count("*").alias("n"), F.sum("occ").alias("occ"), F.max("seed").alias("seed")))
     flat = edges.groupBy("grp", "pattern", "key").agg(F.sum("n").alias("n"), F.sum("occ").alias("occ"), F.max("seed").alias("seed"))
-    seeds = flat.where("seed is not null and key <> '<initial>'").select("grp", "key", F.col("seed").alias("type"), F.lit(1.0).alias("score")).distinct()
+    seeds = flat.where("seed > 0 and key <> '<initial>'").select("grp", "key", F.expr("element_at(array('PHONE', 'ID_NUMBER', 'NAME'), seed)").alias("type"), F.lit(1.0).alias("score")).distinct()
     totals = flat.groupBy("grp", "pattern").agg(F.sum("occ").alias("total"))
     keys = edges.where("pattern like 'l %'").groupBy("grp", "key").agg(F.sum("occ").alias("total"), F.count_distinct("other").alias("others"))
     mass = keys.groupBy("grp").agg(F.sum("total").alias("mass"))
