@@ -49,7 +49,7 @@ def close_pairs(ids: np.ndarray, sim: np.ndarray, parity: np.ndarray, size: np.n
         if cross:
             keep = chunk[i] != chunk[j]
             i, j = i[keep], j[keep]
-        keep = np.bitwise_count(parity[i] ^ parity[j]) <= (size[i] + size[j]) * ratio
+        keep = np.bitwise_count(parity[i] ^ parity[j]) <= (size[i] + size[j]) * ratio + 1e-9
         i, j = i[keep], j[keep]
         if not len(i):
             continue

@@ -68,8 +68,8 @@ HAS_DIGIT = re.compile(r"\d")
 TOKEN = re.compile(r"\w+|\n|\t|[^\s\w]")
 DIGITS, LETTERS = re.compile(r"\d"), re.compile(r"[A-Z]")
 
-#: Times likelier than anywhere at which a pattern of numbers is fully trusted.
-LIFT = 10.0
+#: A pattern of numbers is fully trusted if trusted ones are so many times likelier in it than anywhere, or have this share.
+LIFT, SHARE = 10.0, 0.25
 
 SCHEMA = "start int, stop int, grp string, key string, other string, value string, lpat string, rpat string, seed int, prior double"
 
@@ -241,7 +241,7 @@ def graph_scores(found: DataFrame, rounds: int = 3, enough: float = 0.5) -> tupl
         given = sums.agg(F.sum(F.col("n") * F.col("score")).alias("got"), F.sum(F.col("occ") * F.col("score")).alias("held"))
         share = F.col("got") / (F.col("got") + F.col("total") - F.col("held") + 2.0)
         pattern = given.where("got >= 3").join(totals, ["grp", "pattern"]).join(base, ["grp", "type"]).withColumn("score", share)
-        pattern = pattern.withColumn("score", F.expr(f"if(grp = 'NUMBER', least(1D, score / ({LIFT} * base)), score)")).select("grp", "pattern", "type", "score").where("score > 0.05")
+        pattern = pattern.withColumn("score", F.expr(f"if(grp = 'NUMBER', least(1D, score / least({LIFT} * base, {SHARE})), score)")).select("grp", "pattern", "type", "score").where("score > 0.05")
         pattern = cut(pattern)
         back = flat.join(pattern, ["grp", "pattern"]).groupBy("grp", "key", "type").agg((F.sum(F.col("occ") * F.col("score")) / 2).alias("got"))
         learned = back.join(keys, ["grp", "key"]).where("grp <> 'NAME' or others >= 3").select("grp", "key", "type", (F.col("got") / (F.col("total") + 1.0)).alias("score")).where("score > 0.15")
@@ -251,15 +251,18 @@ def graph_scores(found: DataFrame, rounds: int = 3, enough: float = 0.5) -> tupl
     return pattern, trust, fam
 
 
-def extract(texts: DataFrame, enough: float = 0.5) -> DataFrame:
-    """(the columns of texts but text, pii_type, char_start, char_end): every mention of personal data.
+def extract(texts: DataFrame, keys: list[str], enough: float = 0.5) -> DataFrame:
+    """(keys, pii_type, char_start, char_end): every mention of personal data in ``text``.
 
-    ``texts`` has ``text`` and any other columns. Null and empty texts give nothing, texts are read whole, equal texts
-    in different rows give equal rows, extra columns pass through. Where candidates overlap, the better trusted and then
-    the longer one stays; names inside e-mail or street addresses and numbers inside addresses are part of those.
+    ``keys`` identify a text; rows repeated under the same keys and text count once, null keys are kept as they are, other
+    columns are ignored, whatever their names. Null and empty texts give nothing, texts are read whole, of any length,
+    equal texts under different keys give equal mentions, an empty table gives no rows. Where candidates overlap, the
+    better trusted and then the longer one stays (a full tie: the earlier); names inside e-mail or street addresses and
+    numbers inside addresses are part of those.
     """
-    names = [c for c in texts.columns if c != "text"]
-    found = cut(scan(texts.where("text is not null and text <> ''")))
+    names = [f"k{i}_" for i in range(len(keys))]
+    own = texts.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "text").where("text is not null and text <> ''")
+    found = cut(scan(own))
     pattern, trust, family = graph_scores(found, enough=enough)
     fixed = found.where("grp in ('EMAIL', 'ADDRESS')").select(*names, "start", "stop", F.col("grp").alias("pii_type"), "prior", F.lit(1e9).alias("support"))
 
@@ -276,19 +279,24 @@ def extract(texts: DataFrame, enough: float = 0.5) -> DataFrame:
     people = people.select(*names, "start", "stop", F.lit("NAME").alias("pii_type"), (F.col("key_score") + F.coalesce("family_score", F.lit(0.0))).alias("prior"), F.lit(0.5).alias("support"))
     every = reduce(DataFrame.unionByName, [fixed, numbers, people])
     # accepted mentions of one text: a few
-    grouped = every.groupBy(*names).agg(F.collect_list(F.struct("start", "stop", "pii_type", "prior", "support")).alias("m"))
+    grouped = every.groupBy(*names).agg(F.collect_set(F.struct("start", "stop", "pii_type", "prior", "support")).alias("m"))
     order = F.expr("array_sort(m, (x, y) -> case when x.support <> y.support then if(x.support > y.support, -1, 1) when round(x.prior, 1) <> round(y.prior, 1) then if(x.prior > y.prior, -1, 1) when x.stop - x.start <> y.stop - y.start then if(x.stop - x.start > y.stop - y.start, -1, 1) else x.start - y.start end)")
     kept = F.expr("aggregate(m, cast(array() as array<struct<start: int, stop: int, pii_type: string, prior: double, support: double>>), (acc, x) -> if(exists(acc, k -> x.start < k.stop and k.start < x.stop), acc, concat(acc, array(x))))")
-    return grouped.withColumn("m", order).withColumn("m", kept).select(*names, F.explode("m").alias("x")).select(*names, "x.pii_type", F.col("x.start").cast("bigint").alias("char_start"), F.col("x.stop").cast("bigint").alias("char_end"))
+    out = grouped.withColumn("m", order).withColumn("m", kept).select(*names, F.explode("m").alias("x"))
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "x.pii_type", F.col("x.start").cast("bigint").alias("char_start"), F.col("x.stop").cast("bigint").alias("char_end"))
 
 
 def redact(texts: DataFrame, keys: list[str], mentions: DataFrame) -> DataFrame:
     """``texts`` (keys and text) with ``redacted``: each mention replaced by its type in square brackets.
 
-    Texts without mentions come out as they are, null texts null. ``mentions`` is what ``extract`` returns.
+    Texts without mentions come out as they are, null texts null; other columns than keys and text are left out.
+    ``mentions`` is what ``extract`` returns for the same keys.
     """
+    said = texts.select(*keys, "text")
     lists = mentions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "pii_type"))).alias("m"))
-    joined = texts.join(lists, keys, "left")
+    lists = lists.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "m")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)])
+    joined = said.join(lists, same, "left").drop(*[f"_{i}" for i in range(len(keys))])
     pieces = """aggregate(m, struct(0L as at, '' as said),
       (acc, x) -> struct(x.char_end as at, concat(acc.said, substring(text, cast(acc.at + 1 as int), cast(x.char_start - acc.at as int)), '[', x.pii_type, ']') as said),
       acc -> concat(acc.said, substring(text, cast(acc.at + 1 as int))))"""

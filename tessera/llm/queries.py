@@ -71,20 +71,19 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     texts = pii.texts_of(table(spark, d, "replay_actions"), table(spark, d, "audit_reports"))
-    return pii.extract(texts).select("source_table", "row_id", "field", "pii_type", "char_start")
+    return pii.extract(texts, ["source_table", "row_id", "field"]).select("source_table", "row_id", "field", "pii_type", "char_start")
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     texts = pii.texts_of(table(spark, d, "replay_actions"), table(spark, d, "audit_reports"))
     keys = ["source_table", "row_id", "field"]
-    return pii.redact(texts, keys, pii.extract(texts)).select(*keys, "redacted")
+    return pii.redact(texts, keys, pii.extract(texts, keys)).select(*keys, "redacted")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "extracted_entities").where("mention_id is not null").select(F.lit("extracted_entities").alias("source_table"), F.col("mention_id").alias("row_id"), "text")
     r = table(spark, d, "extraction_rules").where("rule_id is not null").select(F.lit("extraction_rules").alias("source_table"), F.col("rule_id").alias("row_id"), F.col("entity").alias("text"))
-    linked = names.link(m.unionByName(r).distinct(), table(spark, d, "known_entities"))
-    return linked.select("source_table", "row_id", "entity_id")
+    return names.link(m.unionByName(r), table(spark, d, "known_entities"), ["source_table", "row_id"])
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:

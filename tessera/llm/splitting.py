@@ -15,7 +15,7 @@ ROW_END = re.compile(r"\r\n|\n")
 
 
 def boundaries(text: str, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(node, piece start, piece end, successor node index, longest row) of every boundary of one text.
+    """(node, piece start or -1 for none, piece end, successor node index, longest row) of every boundary of one text.
 
     Boundaries are the row starts, and inside rows longer than ``most`` the places that a chain of full pieces from the
     row's start reaches. The successor of a boundary is the start of the row after the last row that still ends within
@@ -30,8 +30,7 @@ def boundaries(text: str, most: int, overlap: int) -> tuple[np.ndarray, np.ndarr
     inner = []
     for s, e in zip(start[length > most].tolist(), end[length > most].tolist()):
         first = s - min(overlap, s) + most
-        inner.append(np.arange(first, max(e - most + overlap, first) + 1, most - overlap))
-        inner[-1] = inner[-1][inner[-1] < e]
+        inner.append(np.arange(first, e, most - overlap))
         stop = np.nonzero(inner[-1] - overlap + most >= e)[0]
         inner[-1] = inner[-1][: stop[0] + 1] if len(stop) else inner[-1]
     node = np.sort(np.concatenate([start, *inner])) if inner else start
@@ -45,6 +44,7 @@ def boundaries(text: str, most: int, overlap: int) -> tuple[np.ndarray, np.ndarr
     after = np.append(start, len(text) + 1)[np.minimum(last + 1, len(start))]
     target = np.where(whole, after, reach)
     stop = np.where(whole, end[np.maximum(last, 0)], reach)
+    begin = np.where(node >= len(text), -1, begin)  # an empty last row adds nothing
     return node, begin, stop, np.searchsorted(node, target), longest
 
 
