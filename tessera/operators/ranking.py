@@ -43,3 +43,8 @@ def promote_extremes(hits: DataFrame) -> DataFrame:
     marked = hits.crossJoin(F.broadcast(ends))  # one row
     kind = F.when(F.col("frame_id") == F.col("_first"), 0).when(F.col("frame_id") == F.col("_last"), 1).otherwise(2)
     return marked.withColumn("rank", F.row_number().over(Window.orderBy(kind, "rank")).cast("bigint")).drop("_first", "_last")
+
+
+def ranked(rows: DataFrame, order: list) -> DataFrame:
+    """A bounded result page with its ``rank`` from 1."""
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))

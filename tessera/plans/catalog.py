@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import structure
 from tessera.functions import text as T
+from tessera.functions.stemmer import stem
 from tessera.model import epoch, event_log, frames
-from tessera.operators import access, facts, lexical, mesh, ranking, replay, sketches, store, vectors
+from tessera.operators import access, ask, facts, lexical, mesh, ranking, replay, sketches, store, tables, temporal, vectors
 from tessera.plans import compiler, parser
 from tessera.runtime import latest, table
+from tessera.sources import sinks
+from tessera.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -601,3 +606,159 @@ t as (select action_type, count(*) as actions from a group by 1)
 select action_type, actions, coalesce(matched, 0) as matched, coalesce(mismatched, 0) as mismatched, actions - coalesce(matched, 0) - coalesce(mismatched, 0) as skipped from t left join j using (action_type)""")
 def a17(spark: SparkSession, d: str) -> DataFrame:
     return replay.match_rates(replay.clean(table(spark, d, "replay_actions").select("action_id", "ingested_at", "action_type", "input_hash", "output_hash")))
+
+
+# Time in words.
+MOMENT = datetime(2025, 10, 15, 12, 0, tzinfo=timezone.utc)
+# (phrase, first second, last second) at that Wednesday noon.
+SPOKEN = [
+    ("today", "2025-10-15 00:00:00", "2025-10-15 23:59:59"), ("yesterday", "2025-10-14 00:00:00", "2025-10-14 23:59:59"), ("two days ago", "2025-10-13 00:00:00", "2025-10-13 23:59:59"),
+    ("in 3 days", "2025-10-18 00:00:00", "2025-10-18 23:59:59"), ("2 weeks from now", "2025-10-29 00:00:00", "2025-10-29 23:59:59"), ("two fridays ago", "2025-10-03 00:00:00", "2025-10-03 23:59:59"),
+    ("last friday", "2025-10-10 00:00:00", "2025-10-10 23:59:59"), ("next friday", "2025-10-17 00:00:00", "2025-10-17 23:59:59"), ("this friday", "2025-10-17 00:00:00", "2025-10-17 23:59:59"),
+    ("next week", "2025-10-20 00:00:00", "2025-10-26 23:59:59"), ("last week", "2025-10-06 00:00:00", "2025-10-12 23:59:59"), ("end of this month", "2025-10-31 00:00:00", "2025-10-31 23:59:59"),
+    ("start of next month", "2025-11-01 00:00:00", "2025-11-01 23:59:59"), ("last month", "2025-09-01 00:00:00", "2025-09-30 23:59:59"), ("3 months ago", "2025-07-15 00:00:00", "2025-07-15 23:59:59"),
+    ("in 90 minutes", "2025-10-15 13:30:00", "2025-10-15 13:30:00"), ("at 5pm today", "2025-10-15 17:00:00", "2025-10-15 17:00:00"), ("in the last 24 hours", "2025-10-14 12:00:00", "2025-10-15 12:00:00"),
+    ("this morning", "2025-10-15 06:00:00", "2025-10-15 11:59:59"), ("on the sunday after next", "2025-10-26 00:00:00", "2025-10-26 23:59:59"), ("next daylight saving change", "2025-11-02 01:00:00", "2025-11-02 01:00:00"),
+    ("midnight tomorrow", "2025-10-16 00:00:00", "2025-10-16 00:00:00"), ("noon next tuesday", "2025-10-21 12:00:00", "2025-10-21 12:00:00"), ("q4 2025", "2025-10-01 00:00:00", "2025-12-31 23:59:59"),
+    ("end of q3", "2025-09-30 00:00:00", "2025-09-30 23:59:59"), ("first business day of next month", "2025-11-03 00:00:00", "2025-11-03 23:59:59"), ("10/12/2025", "2025-10-12 00:00:00", "2025-10-12 23:59:59"), ("2024", "2024-01-01 00:00:00", "2024-12-31 23:59:59"),
+]
+
+
+@query("d3_phrases", "select phrase, epoch_us(a) // 1000000 as start, epoch_us(b) // 1000000 as stop from (values " + ", ".join(f"('{p}', timestamp '{a}', timestamp '{b}')" for p, a, b in SPOKEN) + ") as t(phrase, a, b)")
+def d3(spark: SparkSession, d: str) -> DataFrame:
+    found = [(p, *[int(x.timestamp()) for x in temporal.resolve(p, MOMENT)[:2]]) for p, _, _ in SPOKEN]
+    return spark.createDataFrame(found, "phrase string, start bigint, stop bigint")
+
+
+@query("d4_mentions")
+def d4(spark: SparkSession, d: str) -> DataFrame:
+    a = latest(table(spark, d, "replay_actions").select("action_id", "ingested_at", "output_preview", epoch("ts").alias("seconds")), ["action_id"], ["ingested_at"])
+    return temporal.mentions(a.select(F.col("action_id").alias("frame_id"), F.col("seconds").alias("ts"), F.col("output_preview").alias("search_text")))
+
+
+@query("d5_anchors", f"with {PREVIEWS} select frame_id, true as dated from previews where regexp_matches(coalesce(text, ''), '(^|[^0-9])(19|20)[0-9]{{2}}-(0[1-9]|1[0-2])-(0[1-9]|1[0-9]|2[0-8])([^0-9]|$)')")
+def d5(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.anchors(previews(spark, d)).where("anchor is not null").select("frame_id", F.lit(True).alias("dated")).distinct()
+
+
+@query("filter_p13_temporal", f"""with {FRAMES}, s as (select frame_id, ts as start, ts + 86400 * (frame_id % 9) as stop from frames where frame_id % 2 = 0)
+select frame_id from frames where frame_id in (select frame_id from s where start <= 1746000000 and stop >= 1745600000) or (frame_id not in (select frame_id from s) and ts between 1745600000 and 1746000000)""")
+def temporal_filter(spark: SparkSession, d: str) -> DataFrame:
+    f = frames(spark, d).select("frame_id", "ts")
+    spoken = f.where("frame_id % 2 = 0").select("frame_id", F.col("ts").alias("start"), F.expr("ts + 86400 * (frame_id % 9)").alias("stop"))  # stand-ins for mentions
+    return temporal.within(f, spoken, 1745600000, 1746000000).select("frame_id")
+
+
+# Structure, tables, exports.
+@query("t15_structure", "select doc_id as frame_id, len(regexp_extract_all(coalesce(text, ''), '(?m)^#{1,6}[ \t]+\S')) as headings from documents where regexp_matches(coalesce(text, ''), '(?m)^#{1,6}[ \t]+\S')")
+def t15(spark: SparkSession, d: str) -> DataFrame:
+    e = frames(spark, d).select("frame_id", F.explode(structure.structure("search_text")).alias("e")).where("e.kind = 'heading'")
+    return e.groupBy("frame_id").agg(F.count("*").alias("headings"))
+
+
+@query("t16_structural_chunks")
+def t16(spark: SparkSession, d: str) -> DataFrame:
+    return frames(spark, d).select("frame_id", F.posexplode(structure.structured("search_text")).alias("chunk_no", "chunk"))
+
+
+@query("t6_stems")
+def t6(spark: SparkSession, d: str) -> DataFrame:
+    words = lexical.document_frequencies(frames(spark, d)).where("term rlike '^[a-z]+$'")
+
+    @F.pandas_udf("string")
+    def run(ws):
+        return ws.map(stem)
+
+    return words.select(run("term").alias("stem"), "df", "cf").groupBy("stem").agg(F.sum("cf").alias("cf"), F.count("*").alias("forms"))
+
+
+SHEETS = "s as (select * from xlsx_sheets qualify row_number() over (partition by sheet_id order by exported_at desc) = 1)"
+
+
+def sheets(spark: SparkSession, d: str) -> DataFrame:
+    return latest(table(spark, d, "xlsx_sheets").select("sheet_id", "workbook_id", "sheet_name", "text", "exported_at"), ["sheet_id"], ["exported_at"])
+
+
+@query("s20_sheet_rows", f"with {SHEETS} select sheet_id, count(*) as n from (select sheet_id, unnest(regexp_split_to_array(text, '\r?\n')) as line from s) where trim(line) <> '' group by 1")
+def s20(spark: SparkSession, d: str) -> DataFrame:
+    return tables.sheet_rows(sheets(spark, d)).groupBy("sheet_id").agg(F.count("*").alias("n"))
+
+
+@query("s20_row_chunks")
+def s20b(spark: SparkSession, d: str) -> DataFrame:
+    return tables.row_chunks(sheets(spark, d))
+
+
+@query("s24_column_types", f"""with {SHEETS}, l as (select sheet_id, unnest(regexp_split_to_array(text, '\r?\n')[3:]) as line from s), p as (select sheet_id, unnest(string_split(line, ' | ')) as pair from l), c as (select sheet_id, regexp_extract(pair, '^([^:]+): (.*)$', 1) as col, trim(regexp_extract(pair, '^([^:]+): (.*)$', 2)) as value from p),
+k as (select sheet_id, col, case when try_cast(replace(value, ',', '') as double) is not null then 'number' when regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then 'date' when lower(value) in ('true', 'false', 'yes', 'no') then 'boolean' else 'text' end as kind from c where col <> '' and value <> ''),
+n as (select sheet_id, col, kind, count(*) as n from k group by all), b as (select sheet_id, col, arg_max(kind, n::varchar.lpad(9, '0') || kind) as kind, max(n) as top, sum(n) as total from n group by 1, 2)
+select sheet_id as table_id, col, case when total > top and total - top >= ceil(total * 0.3) then 'mixed' else kind end as value_type from b""")
+def s24(spark: SparkSession, d: str) -> DataFrame:
+    lines = sheets(spark, d).select("sheet_id", F.explode(F.slice(F.split("text", r"\r?\n"), 3, 1000000)).alias("line"))
+    pairs = lines.select("sheet_id", F.explode(F.split("line", r" \| ")).alias("pair"))
+    cells = pairs.select(F.col("sheet_id").alias("table_id"), F.regexp_extract("pair", r"^([^:]+): (.*)$", 1).alias("col"), F.trim(F.regexp_extract("pair", r"^([^:]+): (.*)$", 2)).alias("value"), F.lit(0).alias("row")).where("col <> ''")
+    return tables.column_types(cells)
+
+
+@query("m11_table_merge", "with t as (select * from (values (1, 'a', 1, 2, ['Name', 'Amount']), (2, 'a', 3, 3, ['name', 'Amount (EUR)']), (3, 'a', 6, 7, ['Name', 'Amount']), (4, 'b', 3, 3, ['Name', 'Amount']), (5, 'a', 4, 4, ['Other', 'Thing'])) as t(table_id, source, page_start, page_end, headers)) select 1::bigint as left_id, 2::bigint as right_id, 0.75::double as similarity")
+def m11(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(1, "a", 1, 2, ["Name", "Amount"]), (2, "a", 3, 3, ["name", "Amount (EUR)"]), (3, "a", 6, 7, ["Name", "Amount"]), (4, "b", 3, 3, ["Name", "Amount"]), (5, "a", 4, 4, ["Other", "Thing"])]
+    t = spark.createDataFrame(rows, "table_id bigint, source string, page_start int, page_end int, headers array<string>")
+    return tables.merge_candidates(t, 0.7)
+
+
+@query("s25_csv_export", """select p_partkey || ',' || case when regexp_matches(p_name, '[",]') then '"' || replace(p_name, '"', '""') || '"' else p_name end || ',' || p_size as line from part""")
+def s25(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.csv_lines(table(spark, d, "part").select("p_partkey", "p_name", "p_size"))
+
+
+@query("s25_json_export", """select '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' as line from nation""")
+def s25b(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.json_records(table(spark, d, "nation").select("n_nationkey", "n_name"))
+
+
+@query("s27_encrypted_round_trip", "select report_id, question from audit_reports qualify row_number() over (partition by report_id order by generated_at desc) = 1")
+def s27(spark: SparkSession, d: str) -> DataFrame:
+    key = sinks.derive_key("a test password", b"fixed salt 16 by")
+    a = latest(table(spark, d, "audit_reports").select("report_id", "question", "generated_at"), ["report_id"], ["generated_at"])
+    return sinks.decrypted(sinks.encrypted(a, "question", key), "question", key).select("report_id", "question")
+
+
+# Question answering.
+@query("q4_ask")
+def q4(spark: SparkSession, d: str) -> DataFrame:
+    return ask.answer(frames(spark, d), "Which retriever reads the latest snapshot and ledger?")
+
+
+@query("q4_retrieve_any", f"""with {bm25_sql(['orphaned'])}, hits as (select * from scored), b as (select *, {BOOST} as boosted from hits)
+select frame_id from b order by round(boosted, 9) desc, frame_id limit 10""")
+def q4b(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.top(lexical.recency(lexical.search(frames(spark, d), ask.ladder("What is orphaned?")[0])), 10).select("frame_id")
+
+
+# Streams over what is there, against the same in batch.
+@query("stream_dedup_count", "select event_type, count(distinct event_id) as n from events group by 1")
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    s = ingest.source(spark, f"{d}/events.parquet").select("event_id", F.to_timestamp("ts").alias("ts"), "event_type")
+    return ingest.run_to_table(ingest.deduplicated(s, "event_id", "ts"), spark, "dedup").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_tumbling", f"select (({SECONDS}) // 21600 * 21600)::bigint as start, event_type, count(*) as n, round(sum(value), 3) as total from events group by 1, 2")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    s = ingest.source(spark, f"{d}/events.parquet").select(F.timestamp_seconds(epoch("ts")).alias("ts"), "event_type", "value")
+    out = ingest.run_to_table(ingest.tumbling(s, "ts", "6 hours", ["event_type"]), spark, "tumbling", "complete")
+    return out.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
+@query("stream_sessions", f"""with e as (select user_id, {SECONDS} as t, case when ({SECONDS}) - lag({SECONDS}) over w < 14400 then 0 else 1 end as new from events window w as (partition by user_id order by {SECONDS})),
+s as (select user_id, t, sum(new) over (partition by user_id order by t rows unbounded preceding) as k from e) select user_id, min(t)::bigint as start, max(t)::bigint + 14400 as stop, count(*) as n from s group by user_id, k""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    s = ingest.source(spark, f"{d}/events.parquet").select(F.timestamp_seconds(epoch("ts")).alias("ts"), "user_id")
+    out = ingest.run_to_table(ingest.sessions(s, "ts", "4 hours", "user_id"), spark, "sessions", "complete")
+    return out.select("user_id", F.unix_seconds("start").alias("start"), F.unix_seconds("stop").alias("stop"), "n")
+
+
+@query("stream_upsert", "select user_id, max(event_id) as event_id from events group by 1")
+def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    s = ingest.source(spark, f"{d}/events.parquet", 1).select("user_id", "event_id")
+    return ingest.upsert(s, "user_id", "event_id", spark, "upsert")
