@@ -16,18 +16,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.names import NICKNAMES
 from tessera.runtime import cut, latest, maybe_broadcast
 
-# Common given names and nicknames that seed the graph; others are learned.
-GIVEN = set(
-    """alexander andrew anthony barbara benjamin charles christopher cynthia daniel david deborah dorothy edward eleanor elizabeth frank frederick george
-    gregory helen henry james jennifer john joseph karen katherine kenneth laura lawrence linda margaret maria mary matthew michael nancy nicholas oliver
-    pamela patricia paul peter rebecca richard robert samuel sarah stephen susan teresa thomas timothy valerie victoria walter william björn jürgen søren
-    zoë renée iñigo łucja farouk hideki wanjiru bob bill jim tom kate liz maggie mike steve tony becky sam dan ben""".split()
+# Common given names that seed the graph, beside those of the nickname table; others are learned.
+SEEDS = set(
+    """alexander andrew anthony barbara benjamin charles christopher cynthia daniel david deborah dorothy edward eleanor elizabeth frank frederick george gertrude
+    gregory helen henry ignatius ingrid james jennifer john joseph josephine karen katherine kenneth laura lawrence leonard linda margaret maria mary matthew michael nancy nicholas
+    oliver pamela patricia paul peter quentin raymond rebecca richard robert samuel sarah stephen susan teresa thomas timothy umberto ursula valerie victoria walter
+    wilhelm william yasmin xanthe zachary björn jürgen søren zoë renée iñigo łucja farouk hideki wanjiru anna julia sofia lucas pierre marie hans pedro ivan olga""".split()
 )
+GIVEN = SEEDS | set(NICKNAMES) | {n for ns in NICKNAMES.values() for n in ns}
+# Given names that are also everyday words; in lower case they are no seeds.
+WORDLY = {"will", "bill", "rich", "mark", "pat", "ray", "dot", "val", "sue", "jo", "al", "art", "dolly", "gail", "rob", "drew", "chuck", "kit", "dick", "bob", "jack", "kay", "marge", "nick", "vic", "tori", "sandy", "lena", "nell", "ned", "bert", "gene", "max", "may", "grace", "hope"}
+LOWER_GIVEN = GIVEN - WORDLY
 # Titles before a name, and kinds of thoroughfare in addresses.
 TITLES = r"(?:Dr|Prof|Mrs|Mr|Ms|Miss|Mme|Mlle|M|Herr|Frau|Hr|Fr|Sra|Sr|Srta|Don|Doña)"
-ROADS = "street|st|avenue|ave|road|rd|lane|ln|close|terrace|terr?|drive|dr|court|ct|boulevard|blvd|way|place|pl|square|sq|crescent|cres|row|mews|grove|gardens|gdns|parkway|pkwy|circle|cir|trail|highway|hwy|walk|green|quay|hill|rise|wharf|alley|loop|plaza"
+ROADS = "street|st|avenue|ave|road|rd|lane|ln|close|terrace|terr?|drive|dr|court|ct|boulevard|blvd|way|place|pl|square|sq|crescent|cres|row|mews|grove|gardens|gdns|parkway|pkwy|circle|cir|trail|highway|hwy"
 
 # Letters as classes that the standard library's engine scans fastest.
 UP = "".join(chr(c) for c in range(0x590) if chr(c).isupper())
@@ -43,7 +48,7 @@ WRAPPED = re.compile(r"[(\[{<]\s*at\s*[)\]}>]", re.I)
 NUMBER = re.compile(r"(?<![\w.:/@#-])(?<!\d[ \xa0])(?:\+ ?|\()?\d++(?:(?:[ \xa0.\-/–()]|\) | \(|-\(|\)-|\(0\))*+\d++)*+(?![\w@])")
 CODE = re.compile(r"(?<![\w./:@#-])(?:[A-Z]{1,2}[ -]?\d(?:[ -]?\d){5,9}(?:[ -]?[A-Z])?|\d{7,8}[ -]?[A-Z]|[A-Z]{1,2}\d{1,8}[A-Z]{1,3}\d{2,8}[A-Z]?)(?![\w-])")
 HOUSE = re.compile(r"(?<![\w.:/-])\d{1,5}(?![\d:])(?=[A-Z]?(?:[-/]\d{1,4})?,?[ \xa0]|\s?(?:bis|ter|[a-d])\b)")
-FRONT = re.compile(rf"\d{{1,5}}[A-Z]?(?:[-/]\d{{1,4}})?,?[ \xa0](?:(?:[{UP}][\w'’.-]*|\d+(?:st|nd|rd|th))[ \xa0]){{1,4}}?(?=[{UP}])(?i:{ROADS})\b(?![-\w])")
+FRONT = re.compile(rf"\d{{1,5}}[A-Z]?(?:[-/]\d{{1,4}})?,?[ \xa0](?:(?:[{UP}][\w'’-]{{3,}}|[{UP}][\w'’-]{{0,2}}\.?|\d+(?:st|nd|rd|th))[ \xa0]){{1,4}}?(?=[{UP}])(?i:{ROADS})\b(?![-\w])")
 RUE = re.compile(rf"\d{{1,5}}(?:\s?(?:bis|ter|[a-d]))?,?\s(?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|allee|impasse|quai|cours|route|square|passage)\s(?:(?:de|du|des|la|le|les|l'|d')\s?)*(?:{L}|['’-])+(?-i:[ -][{UP}](?:{L}|['’-])+){{0,2}}", re.I)
 CALLE_WORDS = ("c/", "calle", "avda", "avenida", "plaza", "pza", "paseo", "camino", "carrer", "ronda", "via ", "viale", "piazza", "corso", "rua ")
 CALLE = re.compile(rf"(?<!\w)(?:c/|calle|avda\.?|avenida|plaza|pza\.?|paseo|camino|carrer|ronda|via|viale|piazza|corso|rua)\s(?:(?:{L}|['’.-])+\s){{1,4}}?(?:n\.?º\s?)?\d{{1,4}}\b", re.I)
@@ -57,7 +62,7 @@ RUN = re.compile(rf"(?<![\w@./:-])(?:[{UP}]\.\s?|{FULL}(?![\w@]))(?:(?:,[ \xa0]{
 PART = re.compile(rf"[{UP}]\.|[{UP}](?![\w.'’])|{FULL}")
 SPACED = str.maketrans(dict.fromkeys("\"'(),;=[]{}<>\n\t\xa0“”«»„", " "))
 TITLE_STOPS = ("dr.", "prof.", "mr.", "mrs.", "ms.", "m. ", "sr.", "sra.", "fr.", "hr.", "herr", "frau", "mme", "miss", "mlle", "don", "doña")
-LOWER = re.compile(rf"(?<![\w@./:-])([{LOW}](?:{L}|['’])+|[{LOW}]\.),?[ \xa0]([{LOW}](?:{L}|['’-]){{3,}}|[{LOW}]\.(?=\W|$))(?![\w@])")
+LOWER = re.compile(rf"(?<![\w@./:-])([{LOW}](?:{L}|['’-])+|[{LOW}]\.)(?=,?[ \xa0]{{1,2}}([{LOW}](?:{L}|['’-])+|[{LOW}]\.(?=\W|$))(?![\w@]))")
 TITLE = re.compile(rf"(?i:{TITLES})")
 TITLED = re.compile(rf"(?<!\w)(?:(?i:{TITLES})\.|{TITLES})[ \xa0]+$")
 TITLE_LOWER = re.compile(rf"(?<!\w)(?:(?i:{TITLES})\.|{TITLES})[ \xa0]+[{LOW}]")
@@ -104,16 +109,15 @@ def candidates(text: str) -> list[tuple]:
                         add(m.start(), m.end(), "EMAIL", key, 0, 1.0)
                         taken.append(m.span())
     if HAS_DIGIT.search(text):
-        streets = []
-        for m in HOUSE.finditer(text):
-            found = FRONT.match(text, m.start()) or RUE.match(text, m.start())
-            if found:
-                streets.append(("front", found))
-        low = text.lower()
+        streets, low = [], text.lower()
         if any(w in low for w in CALLE_WORDS):
             streets += [("calle", m) for m in CALLE.finditer(text)]
         if any(w in low for w in WEG_WORDS):
             streets += [("weg", m) for m in WEG.finditer(text)]
+        for m in HOUSE.finditer(text):
+            found = FRONT.match(text, m.start()) or RUE.match(text, m.start())
+            if found:
+                streets.append(("front", found))
         for key, m in streets:
             end = TAIL.match(text, m.end()).end()
             if free(m.start(), end):
@@ -149,7 +153,7 @@ def candidates(text: str) -> list[tuple]:
     seen: set[tuple[int, int]] = set()
     for m in RUN.finditer(text):
         parts = [(p.start(), p.end(), p.group()) for p in PART.finditer(text, m.start(), m.end())]
-        while parts and (SHORT.fullmatch(parts[0][2]) or (TITLE.fullmatch(parts[0][2].rstrip(".")) and not (parts[0][2][:2] == "M." and (len(parts) < 3 or len(parts[1][2].rstrip(".")) == 1)))):
+        while parts and (SHORT.fullmatch(parts[0][2]) or (TITLE.fullmatch(parts[0][2].rstrip(".")) and not (parts[0][2][:2] == "M." and len(parts) < 3))):
             parts = parts[1:]
         for i in range(len(parts) - 1):
             j = i + 1
@@ -157,8 +161,8 @@ def candidates(text: str) -> list[tuple]:
                 j += 1
             elif len(parts[i][2].rstrip(".")) == 1 and len(parts[j][2].rstrip(".")) == 1 and j + 1 < len(parts):
                 j += 1
-            _name(text, parts[i], parts[j], seen, add)
-    if GIVEN.isdisjoint(text.translate(SPACED).split()):
+            _name(text, parts[i], parts[j], seen, add, alone=len(parts) == 2)
+    if LOWER_GIVEN.isdisjoint(text.translate(SPACED).split()):
         low = text.lower()
         if not any(t in low for t in TITLE_STOPS) or not TITLE_LOWER.search(text):
             return out
@@ -167,16 +171,16 @@ def candidates(text: str) -> list[tuple]:
     return out
 
 
-def _name(text: str, first: tuple, last: tuple, seen: set, add, lower: bool = False) -> None:
+def _name(text: str, first: tuple, last: tuple, seen: set, add, lower: bool = False, alone: bool = False) -> None:
     a, b = first[0], last[1]
     if (a, b) in seen:
         return
     comma = "," in text[first[1] : last[0]]
     x, y = first[2].lower().rstrip("."), last[2].lower().rstrip(".")
-    given, family = (y, x) if comma or (y in GIVEN and x not in GIVEN) or (len(y) == 1 and len(x) > 1) else (x, y)
+    given, family = (y, x) if comma or (alone and y in GIVEN and x not in GIVEN) or (len(y) == 1 and len(x) > 1) else (x, y)
     if len(family) < 3:
         return
-    if lower and given not in GIVEN and not TITLED.search(text[max(0, a - 8) : a]):
+    if lower and given not in LOWER_GIVEN and not TITLED.search(text[max(0, a - 8) : a]):
         return
     seen.add((a, b))
     key = "<initial>" if len(given) == 1 else given
@@ -247,7 +251,8 @@ def graph_scores(found: DataFrame, rounds: int = 3, enough: float = 0.5) -> tupl
         learned = back.join(keys, ["grp", "key"]).where("grp <> 'NAME' or others >= 3").select("grp", "key", "type", (F.col("got") / (F.col("total") + 1.0)).alias("score")).where("score > 0.15")
         trust = cut(learned.unionByName(seeds).groupBy("grp", "key", "type").agg(F.max("score").alias("score")))
     people = edges.where("grp = 'NAME'").join(pattern, ["grp", "pattern"], "left")
-    fam = people.groupBy("other").agg((F.sum(F.col("occ") * F.coalesce("score", F.lit(0.0))) / (F.sum("occ") + 1.0)).alias("family_score"))
+    once = F.when(F.col("pattern").startswith("l "), F.col("occ"))
+    fam = people.groupBy("other").agg((F.sum(F.col("occ") * F.coalesce("score", F.lit(0.0))) / (F.sum("occ") + 1.0)).alias("family_score"), (F.sum(once) <= 3 * F.count_distinct("key") + 3).alias("rare"))
     return pattern, trust, fam
 
 
@@ -275,7 +280,9 @@ def extract(texts: DataFrame, keys: list[str], enough: float = 0.5) -> DataFrame
     numbers = near.where(f"grp = 'NUMBER' and (key_score >= {enough} or (key_score >= {enough} * 0.6 and ctx >= {enough}))")
     numbers = numbers.select(*names, "start", "stop", F.col("type").alias("pii_type"), (F.col("key_score") + 0.2 * F.col("ctx")).alias("prior"), F.lit(1.0).alias("support"))
     people = near.where("grp = 'NAME'").join(family, "other", "left")
-    people = people.where(f"(key_score >= {enough} or key = '<initial>' or (key_score > 0.15 and ctx >= {enough})) and (ctx >= {enough} or coalesce(family_score, 0) >= {enough} * 0.6)")
+    known = f"(key_score >= {enough} or key = '<initial>' or (key_score > 0.15 and ctx >= {enough})) and (ctx >= {enough} or coalesce(family_score, 0) >= {enough} * 0.6)"
+    # a given name that is sure, with a family name that is no fixed phrase's word
+    people = people.where(f"({known}) or (key_score >= 0.9 and coalesce(rare, false))")
     people = people.select(*names, "start", "stop", F.lit("NAME").alias("pii_type"), (F.col("key_score") + F.coalesce("family_score", F.lit(0.0))).alias("prior"), F.lit(0.5).alias("support"))
     every = reduce(DataFrame.unionByName, [fixed, numbers, people])
     # accepted mentions of one text: a few
