@@ -125,6 +125,37 @@ def augmented(text: Column, title: Column, uri: Column, track: Column, labels: C
     return F.concat_ws("\n", text, part("title", title), part("uri", uri), part("track", track), part("labels", F.array_join(labels, " ")))
 
 
+def content_date(written: Column) -> Column:
+    """Unix seconds of a date as people write it: ISO with or without time, Y/M/D, spelled (ordinals too), European, a bare year."""
+    t = F.regexp_replace(F.trim(written), r"(\d)(?:st|nd|rd|th)\b", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, r"\s*\([A-Za-z]+\)", ""), r"[,.]", "")
+    forms = ["yyyy-MM-dd'T'HH:mm:ssX", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyy-MM-dd", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy"]
+    parsed = [F.unix_seconds(F.try_to_timestamp(t, F.lit(f))) for f in forms]
+    year = F.when(t.rlike(r"^(?:19|20)\d{2}$|^2100$"), F.unix_seconds(F.try_to_timestamp(F.concat(t, F.lit("-01-01")), F.lit("yyyy-MM-dd"))))
+    return F.coalesce(*parsed, year)
+
+
+def value_type(value: Column) -> Column:
+    """number, datetime, boolean or string, by what the whole value can be read as."""
+    return (
+        F.when(value.try_cast("double").isNotNull(), "number")
+        .when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), "datetime")
+        .when(F.lower(value).isin("true", "false", "yes", "no"), "boolean")
+        .otherwise("string")
+    )
+
+
+def index_eligible(text: Column, mime: Column, most_bytes: int = 10_000_000) -> Column:
+    """Whether a frame is indexed: some text, of a text type, not too large."""
+    return F.coalesce((F.trim(text) != "") & (F.coalesce(mime, F.lit("text/plain")).startswith("text/")) & (F.octet_length(text) <= most_bytes), F.lit(False))
+
+
+def worthwhile_image(width: Column, height: Column, variance: Column) -> Column:
+    """Whether an image is more than an icon, a line or a flat colour."""
+    short, long = F.least(width, height), F.greatest(width, height)
+    return F.coalesce(width.isNotNull() & height.isNotNull() & (short >= 64) & (long / short <= 10) & (variance >= 0.01), F.lit(False))
+
+
 def normalise_text(text: str | None, limit: int = TEXT_LIMIT) -> str | None:
     """NFKC, plain spaces and single newlines, no control characters, at most ``limit`` bytes; None if nothing is left."""
     if text is None:

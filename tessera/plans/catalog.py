@@ -15,7 +15,7 @@ from tessera.model import epoch, event_log, frames
 from tessera.operators import access, ask, facts, lexical, mesh, ranking, replay, sketches, store, tables, temporal, vectors
 from tessera.plans import compiler, parser
 from tessera.runtime import latest, table
-from tessera.sources import sinks
+from tessera.sources import readers, sinks
 from tessera.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -762,3 +762,116 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     s = ingest.source(spark, f"{d}/events.parquet", 1).select("user_id", "event_id")
     return ingest.upsert(s, "user_id", "event_id", spark, "upsert")
+
+
+# Further predicates, joins and scalar functions.
+WRITTEN = [("2024/05/03 (Fri) 14:30", "2024-05-03 14:30:00"), ("2024-05-03T10:00:00Z", "2024-05-03 10:00:00"), ("2024-05-03", "2024-05-03 00:00:00"), ("May 3rd, 2024", "2024-05-03 00:00:00"), ("3 May 2024", "2024-05-03 00:00:00"), ("1999", "1999-01-01 00:00:00"), ("soon", None)]
+
+
+@query("d1_content_dates", "select written, epoch_us(t::timestamp) // 1000000 as ts from (values " + ", ".join(f"('{w}', {repr(t) if t else 'null'})" for w, t in WRITTEN) + ") as v(written, t)")
+def d1(spark: SparkSession, d: str) -> DataFrame:
+    v = spark.createDataFrame([(w,) for w, _ in WRITTEN], "written string")
+    return v.select("written", T.content_date(F.col("written")).alias("ts"))
+
+
+@query("j2_value_types", "select value, case when try_cast(value as double) is not null then 'number' when regexp_matches(value, '^\\d{4}-\\d{2}-\\d{2}') then 'datetime' when lower(value) in ('true', 'false', 'yes', 'no') then 'boolean' else 'string' end as kind, count(*) as n from (select n_name as value from nation union all select o_orderstatus from orders union all select l_quantity::varchar from lineitem union all select 'yes' union all select '2024-01-01') group by 1, 2")
+def j2(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "nation").select(F.col("n_name").alias("value")).unionByName(table(spark, d, "orders").select(F.col("o_orderstatus").alias("value")))
+    v = v.unionByName(table(spark, d, "lineitem").select(F.col("l_quantity").cast("string").alias("value"))).unionByName(spark.createDataFrame([("yes",), ("2024-01-01",)], "value string"))
+    return v.groupBy("value", T.value_type(F.col("value")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("filter_p16_index_eligible", "select doc_id as frame_id from documents where trim(text, ' ') <> '' and strlen(text) <= 20000")
+def eligible(spark: SparkSession, d: str) -> DataFrame:
+    return frames(spark, d).where(T.index_eligible(F.col("search_text"), F.lit("text/plain"), 20000)).select("frame_id")
+
+
+@query("filter_p18_images", "select * from (values (1::bigint), (5::bigint)) as t(frame_id)")
+def images(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(1, 640, 480, 0.2), (2, 32, 480, 0.2), (3, 64, 1000, 0.2), (4, 640, 480, 0.001), (5, 64, 640, 0.01), (6, None, 480, 0.2)]
+    v = spark.createDataFrame(rows, "frame_id bigint, width int, height int, variance double")
+    return v.where(T.worthwhile_image(F.col("width"), F.col("height"), F.col("variance"))).select("frame_id")
+
+
+@query("join_hits_stale", "select count(*) as hits, count(*) filter (h.frame_id not in (select frame_id from sketch_entries)) as stale from (select distinct query_frame_id, frame_id from vec_search_hits) h")
+def stale(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "vec_search_hits").select("query_frame_id", "frame_id").distinct()
+    known = table(spark, d, "sketch_entries").select("frame_id").distinct().withColumn("known", F.lit(True))
+    return hits.join(known, "frame_id", "left").agg(F.count("*").alias("hits"), F.count_if(F.col("known").isNull()).alias("stale"))
+
+
+@query("range_join_spans_mentions", """with s as (select distinct span_id, frame_id, chunk_range.range_start as a, chunk_range.range_end as b from source_spans where frame_id is not null and chunk_range is not null), m as (select distinct mention_id, frame_id, byte_start, byte_end from extracted_entities)
+select span_id, mention_id from s join m using (frame_id) where a < byte_end and byte_start < b""")
+def range_join(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "source_spans").where("frame_id is not null and chunk_range is not null").select("span_id", "frame_id", F.col("chunk_range.range_start").alias("a"), F.col("chunk_range.range_end").alias("b")).distinct()
+    m = table(spark, d, "extracted_entities").select("mention_id", "frame_id", "byte_start", "byte_end").distinct()
+    return s.join(m, "frame_id").where("a < byte_end and byte_start < b").select("span_id", "mention_id")
+
+
+@query("join_parent_chunks", f"with {FRAMES}, c as (select frame_id, unnest(range(len(search_text) // 1000 + 1)) as chunk_index from frames where len(search_text) >= 2400) select frame_id, count(*) as chunks, max(chunk_index)::bigint as last from c group by 1")
+def parent_chunks(spark: SparkSession, d: str) -> DataFrame:
+    f = frames(spark, d).where(F.length("search_text") >= 2400)
+    parts = f.select("frame_id", F.explode(F.expr("sequence(0L, cast(length(search_text) div 1000 as bigint))")).alias("chunk_index"))
+    return f.select("frame_id").join(parts, "frame_id").groupBy("frame_id").agg(F.count("*").alias("chunks"), F.max("chunk_index").alias("last"))
+
+
+@query("k9_scoped_similarity", """with v as (select frame_id, arg_max(embedding, added_at)::double[64] as e from vec_documents where len(embedding) = 64 group by 1), q as (select e as qe from v order by frame_id limit 1), s as (select v.* from v join documents d on d.doc_id = v.frame_id where starts_with(uri, 'mv2://atlas'))
+select frame_id, round(1 - array_distance(e, qe), 6) as similarity from s, q order by round(array_distance(e, qe), 9), frame_id limit 10""")
+def k9(spark: SparkSession, d: str) -> DataFrame:
+    v = latest(table(spark, d, "vec_documents").where("size(embedding) = 64").select("frame_id", "embedding", "added_at"), ["frame_id"], ["added_at"])
+    q = list(v.orderBy("frame_id").limit(1).select("embedding").first()[0])  # one row
+    scope = frames(spark, d).where(compiler.predicate(parser.parse("scope:mv2://atlas"))).select("frame_id")
+    near = vectors.knn(v.join(scope, "frame_id"), q, 10, "frame_id")
+    return near.select("frame_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("m12_compression", "select 64 * 4 as plain_bytes, 16 as code_bytes, round(64 * 4 / 16.0, 3)::double as ratio, count(*) as vectors from embeddings")
+def m12(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").agg(F.lit(256).alias("plain_bytes"), F.lit(16).alias("code_bytes"), F.lit(16.0).alias("ratio"), F.count("*").alias("vectors"))
+
+
+@query("a15_edge_dedup", "select l_suppkey as src, l_partkey as dst, l_returnflag as link, arg_min(l_quantity, l_orderkey * 10 + l_linenumber) as confidence, min(l_orderkey * 10 + l_linenumber) as frame_id from lineitem group by 1, 2, 3")
+def a15(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("link"), F.col("l_quantity").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame_id"))
+    return mesh.merge_edges(e)
+
+
+@query("f2_predicates", "select * from (values " + ", ".join(f"('{s}', '{t}', {str(m).lower()})" for s, t, m in facts.PREDICATES) + ") as t(slot, value_type, multiple)")
+def f2(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(facts.PREDICATES, "slot string, value_type string, multiple boolean")
+
+
+@query("g3_planned_triples", f"with {CARDS}, c as (select entity, slot, value from cards where relation <> 'retracts' qualify row_number() over (partition by entity, slot order by eff_ts desc, card_id desc) = 1) select 'user ' || 7 as entity, value from c where entity = 'user 7' and slot = 'click'")
+def g3(spark: SparkSession, d: str) -> DataFrame:
+    return facts.match_triple(facts.slot_values(cards(spark, d)), "User 7", "click").select("entity", "value")
+
+
+@query("g5_hybrid_search", f"""with {bm25_sql(['ledger'])}, t as (select frame_id, row_number() over (order by round(score, 9) desc, frame_id) as rank from scored order by rank limit 20), g as (select frame_id, row_number() over (order by frame_id) as rank from (select distinct frame_id from extracted_entities where lower(text) = 'harbor ledger') order by rank limit 20)
+select frame_id, round(sum(1.0::double / (60.0::double + rank)), 9) as fused, min(rank) as best_rank from (select * from t union all select * from g) group by 1""")
+def g5(spark: SparkSession, d: str) -> DataFrame:
+    a = lexical.top(lexical.search(frames(spark, d), "ledger"), 20, "score").select("frame_id", "rank")
+    b = table(spark, d, "extracted_entities").where("lower(text) = 'harbor ledger'").select("frame_id").distinct().orderBy("frame_id").limit(20)
+    return ranking.reciprocal_ranks([a, ranking.ranked(b, [F.asc("frame_id")])]).select("frame_id", F.round("fused", 9).alias("fused"), "best_rank")
+
+
+@query("t22_frame_context", "select doc_id as frame_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda t: t <> ''))::int as words, ((length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), 'snapshot', ''))) // 8)::bigint as snapshots from documents")
+def t22(spark: SparkSession, d: str) -> DataFrame:
+    words = F.size(F.filter(F.split(F.coalesce("search_text", F.lit("")), r"\s+"), lambda t: t != ""))
+    return frames(spark, d).select("frame_id", words.alias("words"), T.occurrences(F.col("search_text"), "snapshot").alias("snapshots"))
+
+
+@query("s16_formats", "select * from (values ('a.pdf', 'pdf'), ('b.docx', 'docx'), ('c.xlsm', 'xlsx'), ('d.xls', 'xls'), ('e.docx', 'text'), ('f.txt', 'text')) as t(path, format)")
+def s16(spark: SparkSession, d: str) -> DataFrame:
+    zipped = bytearray(b"PK\x03\x04..")
+    rows = [("a.pdf", bytearray(b"%PDF-1.7")), ("b.docx", zipped), ("c.xlsm", zipped), ("d.xls", bytearray(b"\xd0\xcf")), ("e.docx", bytearray(b"plain")), ("f.txt", bytearray(b"x"))]
+    return spark.createDataFrame(rows, "path string, content binary").select("path", readers.file_format(F.col("content"), F.col("path")).alias("format"))
+
+
+@query("s5_dimension_counts", "select len(embedding)::int as size, count(*) as n from vec_documents where embedding is not null group by 1")
+def s5(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "vec_documents").where("embedding is not null").groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
+
+
+@query("s12_vacuum", "select doc_id as frame_id, case when doc_id % 4 <> 0 then length(text) end as kept from documents")
+def s12(spark: SparkSession, d: str) -> DataFrame:
+    return store.vacuum(frames(spark, d), "frame_id % 4 <> 0").select("frame_id", F.length("search_text").cast("bigint").alias("kept"))
