@@ -60,7 +60,7 @@ TAIL = re.compile(rf"(?:,? (?:apt|unit|suite|ste|flat|apartment|piso|#)\.? ?#?\w
 FULL = rf"[{UP}](?:{L}|['’])+(?:-[{UP}](?:{L}|['’])+)*"
 RUN = re.compile(rf"(?<![\w@./:-])(?:[{UP}]\.\s?|{FULL}(?![\w@]))(?:(?:,[ \xa0]{{1,2}}|[ \xa0]{{1,2}})(?:[{UP}]\.|[{UP}](?![\w.'’])|{FULL}(?![\w@])))+")
 PART = re.compile(rf"[{UP}]\.|[{UP}](?![\w.'’])|{FULL}")
-SPACED = str.maketrans(dict.fromkeys("\"'(),;=[]{}<>\n\t\xa0“”«»„", " "))
+APART = "\"'(,=“«"
 TITLE_STOPS = ("dr.", "prof.", "mr.", "mrs.", "ms.", "m. ", "sr.", "sra.", "fr.", "hr.", "herr", "frau", "mme", "miss", "mlle", "don", "doña")
 LOWER = re.compile(rf"(?<![\w@./:-])([{LOW}](?:{L}|['’-])+|[{LOW}]\.)(?=,?[ \xa0]{{1,2}}([{LOW}](?:{L}|['’-])+|[{LOW}]\.(?=\W|$))(?![\w@]))")
 TITLE = re.compile(rf"(?i:{TITLES})")
@@ -162,7 +162,10 @@ def candidates(text: str) -> list[tuple]:
             elif len(parts[i][2].rstrip(".")) == 1 and len(parts[j][2].rstrip(".")) == 1 and j + 1 < len(parts):
                 j += 1
             _name(text, parts[i], parts[j], seen, add, alone=len(parts) == 2)
-    if LOWER_GIVEN.isdisjoint(text.translate(SPACED).split()):
+    plain = text
+    for mark in APART:
+        plain = plain.replace(mark, " ")
+    if LOWER_GIVEN.isdisjoint(plain.split()):
         low = text.lower()
         if not any(t in low for t in TITLE_STOPS) or not TITLE_LOWER.search(text):
             return out
