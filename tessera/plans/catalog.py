@@ -79,24 +79,32 @@ for _name, _text, _words, _where in [
 query("a13_bm25_scores", f"with {bm25_sql(['query', 'segment'])} select frame_id, round(score, 6) as score from scored where {_has('query')} or {_has('segment')}")(_search("query OR segment", None))
 
 
+def placed(spark: SparkSession, d: str) -> DataFrame:
+    """Frames under uris of their capsules."""
+    return frames(spark, d).withColumn("uri", F.concat(F.lit("doc://"), "capsule", F.lit("/"), F.col("frame_id").cast("string")))
+
+
+PLACED = f"{FRAMES.replace('frames as', 'given as')}, frames as (select * replace ('doc://' || capsule || '/' || frame_id as uri) from given)"
+
+
 def _filtered(text: str) -> Query:
-    return lambda spark, d: frames(spark, d).where(compiler.predicate(parser.parse(text), "substring")).select("frame_id", "uri")
+    return lambda spark, d: placed(spark, d).where(compiler.predicate(parser.parse(text), "substring")).select("frame_id", "uri")
 
 
 for _name, _text, _where in [
     ("p1_word_filter", "snapshot", "contains(lower(search_text), 'snapshot')"),
     ("p2_phrase_filter", '"log said"', "contains(lower(search_text), 'log said')"),
-    ("p4_uri_filter", "uri:mv2://ember-tenwin/1", "lower(uri) = 'mv2://ember-tenwin/1'"),
-    ("p5_scope_filter", "scope:mv2://ember", "starts_with(uri, 'mv2://ember')"),
+    ("p4_uri_filter", "uri:doc://THICKET-main/20 OR uri:doc://ember-tenwin/1", "lower(uri) in ('doc://thicket-main/20', 'doc://ember-tenwin/1')"),
+    ("p5_scope_filter", "scope:doc://ember", "starts_with(uri, 'doc://ember')"),
     ("p6_track_label_filter", "track:support_ticket AND tag:orchard", "track = 'support_ticket' and list_contains(list_transform(labels, lambda x: lower(x)), 'orchard')"),
     ("p7_date_filter", "date:[2025-01 TO 2025-06-15]", "ts between 1735689600 and 1750031999"),
     ("p8_boolean_filter", "(cache OR ledger) AND NOT token", "(contains(lower(search_text), 'cache') or contains(lower(search_text), 'ledger')) and not contains(lower(search_text), 'token')"),
 ]:
-    query("filter_" + _name, f"with {FRAMES} select frame_id, uri from frames where {_where}")(_filtered(_text))
+    query("filter_" + _name, f"with {PLACED} select frame_id, uri from frames where {_where}")(_filtered(_text))
 
 query("filter_p3_wildcard", f"with {FRAMES} select frame_id, uri from frames where list_bool_or(list_transform({TOKENS}, lambda t: regexp_full_match(t, 'snap.*')))")(lambda s, d: frames(s, d).where(compiler.predicate(parser.parse("snap*"))).select("frame_id", "uri"))
 query("filter_p12_time_travel", f"with {FRAMES} select frame_id, ts from frames where frame_id <= 400 and ts <= 1745000000")(lambda s, d: frames(s, d).where(compiler.time_travel(400, 1745000000)).select("frame_id", "ts"))
-query("filter_p10_uri_prefix", f"with {FRAMES} select frame_id, uri from frames where starts_with(lower(uri), 'mv2://atlas')")(lambda s, d: frames(s, d).where(compiler.uri_filter("mv2://ATLAS")).select("frame_id", "uri"))
+query("filter_p10_uri_prefix", f"with {PLACED} select frame_id, uri from frames where starts_with(lower(uri), 'doc://atlas')")(lambda s, d: placed(s, d).where(compiler.uri_filter("doc://ATLAS")).select("frame_id", "uri"))
 
 
 @query("k5_fallback_score", f"""with {FRAMES} select frame_id, ((length(lower(search_text)) - length(replace(lower(search_text), 'merged', ''))) // 6
@@ -650,7 +658,7 @@ def temporal_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Structure, tables, exports.
-@query("t15_structure", "select doc_id as frame_id, len(regexp_extract_all(coalesce(text, ''), '(?m)^#{1,6}[ \t]+\S')) as headings from documents where regexp_matches(coalesce(text, ''), '(?m)^#{1,6}[ \t]+\S')")
+@query("t15_structure", r"select doc_id as frame_id, len(regexp_extract_all(coalesce(text, ''), '(?m)^#{1,6}[ \t]+\S')) as headings from documents where regexp_matches(coalesce(text, ''), '(?m)^#{1,6}[ \t]+\S')")
 def t15(spark: SparkSession, d: str) -> DataFrame:
     e = frames(spark, d).select("frame_id", F.explode(structure.structure("search_text")).alias("e")).where("e.kind = 'heading'")
     return e.groupBy("frame_id").agg(F.count("*").alias("headings"))
@@ -815,12 +823,12 @@ def parent_chunks(spark: SparkSession, d: str) -> DataFrame:
     return f.select("frame_id").join(parts, "frame_id").groupBy("frame_id").agg(F.count("*").alias("chunks"), F.max("chunk_index").alias("last"))
 
 
-@query("k9_scoped_similarity", """with v as (select frame_id, arg_max(embedding, added_at)::double[64] as e from vec_documents where len(embedding) = 64 group by 1), q as (select e as qe from v order by frame_id limit 1), s as (select v.* from v join documents d on d.doc_id = v.frame_id where starts_with(uri, 'mv2://atlas'))
+@query("k9_scoped_similarity", """with v as (select frame_id, arg_max(embedding, added_at)::double[64] as e from vec_documents where len(embedding) = 64 group by 1), q as (select e as qe from v order by frame_id limit 1), s as (select v.* from v join documents d on d.doc_id = v.frame_id where starts_with(capsule, 'atlas'))
 select frame_id, round(1 - array_distance(e, qe), 6) as similarity from s, q order by round(array_distance(e, qe), 9), frame_id limit 10""")
 def k9(spark: SparkSession, d: str) -> DataFrame:
     v = latest(table(spark, d, "vec_documents").where("size(embedding) = 64").select("frame_id", "embedding", "added_at"), ["frame_id"], ["added_at"])
     q = list(v.orderBy("frame_id").limit(1).select("embedding").first()[0])  # one row
-    scope = frames(spark, d).where(compiler.predicate(parser.parse("scope:mv2://atlas"))).select("frame_id")
+    scope = placed(spark, d).where(compiler.predicate(parser.parse("scope:doc://atlas"))).select("frame_id")
     near = vectors.knn(v.join(scope, "frame_id"), q, 10, "frame_id")
     return near.select("frame_id", F.round("similarity", 6).alias("similarity"))
 
