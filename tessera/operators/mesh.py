@@ -21,8 +21,8 @@ def merge_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """One edge for each (from, to, link), the one of the least frame."""
-    return edges.groupBy("src", "dst", "link").agg(F.min_by("confidence", "frame_id").alias("confidence"), F.min("frame_id").alias("frame_id"))
+    """One edge for each (from, to, link), the one of the least frame, on a tie of the least confidence."""
+    return edges.groupBy("src", "dst", "link").agg(F.min_by("confidence", F.struct("frame_id", "confidence")).alias("confidence"), F.min("frame_id").alias("frame_id"))
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

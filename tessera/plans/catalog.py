@@ -838,7 +838,7 @@ def m12(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").agg(F.lit(256).alias("plain_bytes"), F.lit(16).alias("code_bytes"), F.lit(16.0).alias("ratio"), F.count("*").alias("vectors"))
 
 
-@query("a15_edge_dedup", "select l_suppkey as src, l_partkey as dst, l_returnflag as link, arg_min(l_quantity, l_orderkey * 10 + l_linenumber) as confidence, min(l_orderkey * 10 + l_linenumber) as frame_id from lineitem group by 1, 2, 3")
+@query("a15_edge_dedup", "select l_suppkey as src, l_partkey as dst, l_returnflag as link, arg_min(l_quantity, (l_orderkey * 10 + l_linenumber) * 1000 + l_quantity) as confidence, min(l_orderkey * 10 + l_linenumber) as frame_id from lineitem group by 1, 2, 3")
 def a15(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("link"), F.col("l_quantity").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame_id"))
     return mesh.merge_edges(e)
