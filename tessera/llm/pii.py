@@ -353,6 +353,7 @@ def redact(texts: DataFrame, keys: list[str], mentions: DataFrame) -> DataFrame:
     lists = lists.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "m")
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)])
     joined = said.join(lists, same, "left").drop(*[f"_{i}" for i in range(len(keys))])
+    columns = said.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in said.schema.fields) + ", redacted string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +368,6 @@ def redact(texts: DataFrame, keys: list[str], mentions: DataFrame) -> DataFrame:
                     parts += [text[at : m["char_start"]], "[", m["pii_type"], "]"]
                     at = m["char_end"]
                 done.append("".join([*parts, text[at:]]))
-            kept = [b.column(f.name) for f in said.schema.fields]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(done, pa.string())], [*said.columns, "redacted"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(done, pa.string())], [*columns, "redacted"])
 
     return joined.mapInArrow(run, schema)
