@@ -363,21 +363,30 @@ def test_sentences(text, want):
 
 def test_chunks_compose_to_the_whole(spark):
     text = "".join(f'The "odd one. Not two" ran on v1.{i} (see p. {i}. Or not) for Dr. Li. Was it {i}? ' for i in range(300)) + "「あ。い。」と。" * 200
-    whole = sentences.sentence_starts(text)
-    for chunk in (500, 1777):
-        f = list(range(sentences.N_STATES))
-        state, found = 0, {0}
-        for lo in range(0, len(text), chunk):
-            step = sentences.chunk_function(text, lo, min(lo + chunk, len(text)))
-            found.update(p for p in sentences.starts_from(text, lo, min(lo + chunk, len(text)), state) if p < len(text))
-            state = step[state]
-            f = [step[x] for x in f]
-        assert sorted(found) == whole and f[0] == state
-    df = spark.createDataFrame([(7, text, 0), (8, "Short. One.", 1)], "doc_id bigint, text string, key bigint")
-    got = sentences.long_units(df, 3000)
-    assert [r.sent_start for r in got.where("doc_id = 7").orderBy("sent_start").collect()] == whole
-    ends = {r.sent_start: r.sent_end for r in got.where("doc_id = 7").collect()}
-    assert all(text[ends[a] - 1] != " " and not text[ends[a] : b].strip() for a, b in zip(whole, [*whole[1:], len(text)]))
+    numbered = "\n".join(f"{i % 900 + 1}. Item {i} is here. It has two sentences" for i in range(700))
+    wrapped = "\n".join(f"{i}. is wrapped" for i in range(60))
+    quote = "He said “" + "Stop here now. " * 220 + "Done,” and left. Then: „erst. dann“ kam. Ein “zweites” Zeichen."
+    mixed = f"{numbered}\r\n\r\nText {wrapped}\n\n{quote}\n\n   \n{quote} A \"b. c\" d. \"e. f\n\ng. H"
+    texts = {1: text, 2: numbered, 3: quote, 4: mixed, 5: " \n" * 900 + "Late. Text", 6: "Ends here. " + "\n" * 2000, 7: "." * 3000, 8: "Short. One."}
+    df = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], "doc_id bigint, text string, key bigint")
+    whole = {i: sentences.sentence_starts(t) for i, t in texts.items()}
+    assert len(whole[2]) == 1400  # every item begins a unit, and so does each further sentence
+    assert len(whole[3]) == 3  # a quotation inside a sentence belongs to it, however long it is
+    for chunk in (70, 1111, 10**6):
+        got = {}
+        for r in sentences.units(df, chunk=chunk).collect():
+            got.setdefault(r.doc_id, []).append((r.sent_start, r.sent_end, r.sent_no))
+        for i, t in texts.items():
+            at = whole[i]
+            assert sorted(got[i]) == [(p, p + len(t[p:q].rstrip()), k) for k, (p, q) in enumerate(zip(at, [*at[1:], len(t)]))], (chunk, i)
+
+
+@pytest.mark.parametrize("size", [32767, 32769])
+def test_no_size_has_rules_of_its_own(spark, size):
+    text = "\n".join(f"{i % 900 + 1}. Entry {i} was read" for i in range(2000))[:size]
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert [r.sent_start for r in sentences.units(df).orderBy("sent_start").collect()] == sentences.sentence_starts(text)
+    assert len(sentences.sentence_starts(text)) == text.count("\n") + 1
 
 
 def test_units_dirty_rows(spark):
