@@ -157,6 +157,21 @@ items as (
   select 'source_spans', span_id, workbook_id, decode(bytes[a + 1:b]) from cited)
 """
 
+ENRICHED = """
+latest as (select frame_id, list_filter(arg_max(top_terms, updated_at), lambda t: t <> 0) as ts from sketch_entries where top_terms is not null group by 1),
+c as (select frame_id, len(ts) as slots, t.term, len(list_filter(ts, lambda x: x = t.term)) as in_record from (select frame_id, ts, unnest(list_distinct(ts)) as term from latest) t),
+size as (select sum(in_record)::double as population from c),
+held as (select term, sum(in_record) as holders from c group by 1),
+cases as (select slots, in_record, holders, population, count(*) as tests from c join held using (term), size group by all),
+chances as (select *, ln(list_sum(list_transform(range(in_record, least(slots, holders)::bigint + 1), lambda x: exp(
+    lgamma(holders + 1) - lgamma(x + 1) - lgamma(holders - x + 1) + lgamma(population - holders + 1) - lgamma(slots - x + 1) - lgamma(population - holders - slots + x + 1)
+    - lgamma(population + 1) + lgamma(slots + 1) + lgamma(population - slots + 1))))) as log_p from cases),
+upto as (select *, sum(tests) over (order by log_p, slots, in_record, holders) as n, sum(tests) over () as m from chances),
+tied as (select *, log_p + ln(m / max(n) over (partition by log_p)) as raw from upto),
+fixed as (select slots, in_record, holders, log_p, -least(0, min(raw) over (order by log_p desc, slots, in_record, holders)) / ln(10) as score from tied),
+enriched as (select frame_id, term, in_record, holders, log_p, score from c join held using (term) join fixed using (slots, in_record, holders))
+"""
+
 ORACLE: dict[str, str] = {
     "p2_found": f"with {LISTS} select report_id, frame_id from fused qualify row_number() over (partition by report_id order by round(fused_score, 12) desc, frame_id) <= 3",
     "p2_ranking": f"with {LISTS} select report_id, frame_id, round(fused_score, 9) as fused_score, n_lists from fused",
@@ -169,11 +184,9 @@ where length(text) > max_chars""",
 d as (select a.frame_id as q, b.frame_id as f, array_distance(a.e, b.e) as d from v a join v b on a.frame_id <> b.frame_id),
 n as (select q, f, d from d qualify row_number() over (partition by q order by d, f) <= 5)
 select distinct least(q, f) as frame_id_a, greatest(q, f) as frame_id_b from n where d < 0.5""",
-    "p5_found": """with e as (select distinct frame_id, unnest(top_terms) as term from sketch_entries),
-t as (select frame_id, term from e where term <> 0),
-w as (select term, -ln(count(*) / (select count(distinct frame_id) from t)::double) as w from t group by 1),
-q as (select distinct query_id, unnest(top_terms) as term from query_sketches)
-select query_id, frame_id from (select query_id, frame_id, sum(w) as s from q join t using (term) join w using (term) where term <> 0 group by all)
+    "p5_worth": f"""with {ENRICHED} select frame_id, term, in_record::bigint as in_record, holders::bigint as holders, round(log_p, 6) as log_p, round(score, 6) as score from enriched""",
+    "p5_found": f"""with {ENRICHED}, q as (select distinct query_id, unnest(top_terms) as term from query_sketches)
+select query_id, frame_id from (select query_id, frame_id, sum(score) as s from q join enriched using (term) where term <> 0 group by all)
 qualify row_number() over (partition by query_id order by round(s, 7) desc, frame_id) = 1""",
     "p6_found": """with u as (select frame_id, any_value(simhash) as s, any_value(term_filter) as f from sketch_entries where simhash is not null and regexp_matches(hex(term_filter), '[^0]') group by 1),
 n as (select frame_id, s, octet_length(f) as len, f::bit as b, case when octet_length(f) = 64 then unhex(hex(f)[1:64])::bit | unhex(hex(f)[65:128])::bit else f::bit end as h from u)

@@ -177,7 +177,7 @@ def test_upper_tail_is_exact():
         assert abs(got - want) < 1e-9
 
 
-def test_enrichment_and_single_out(spark):
+def test_enrichment_and_single_out(spark, monkeypatch):
     rng = random.Random(5)
     data = [(i, [rng.choice([0, 1, 2, 3]) for _ in range(3)] + [10 + rng.randint(0, 40)], 1, 0.5) for i in range(200)] + [(900, None, 1, 0.1), (901, [0, 0], 1, 0.2), (902, [None, 7, 7], 1, 0.3), (3, [5, 5, 5, 5], 0, 0.4)]
     df = spark.createDataFrame(data, "frame_id bigint, top_terms array<bigint>, updated_at int, score double")
@@ -195,17 +195,15 @@ def test_enrichment_and_single_out(spark):
         want[r.record_id, r.term] = -q / math.log(10)
     assert all(abs(got[k].score - want[k]) < 1e-6 for k in got)
     queries = spark.createDataFrame([(1, data[0][1]), (2, [7, 99, 0]), (3, [12345]), (4, None), (1, data[0][1]), (5, [1, 2, 3])], "query_id bigint, top_terms array<bigint>")
-    latest = {i: set(t) - {0, None} for i, t, _, _ in data if t}
-    latest[3] = set(data[3][1]) - {0}
-    df_count = {}
-    alive = {i: s for i, s in latest.items() if s}
-    for s in alive.values():
-        for t in s:
-            df_count[t] = df_count.get(t, 0) + 1
+    held = {}
+    for i, t in got:
+        held.setdefault(i, set()).add(t)
+    out = {r.query_id: r for r in enrichment.single_out(queries, df).collect()}
     for q, terms in [(1, set(data[0][1]) - {0}), (2, {7, 99}), (5, {1, 2, 3})]:
-        best = max((round(sum(math.log(len(alive) / df_count[t]) for t in s & terms), 6), -i) for i, s in alive.items() if s & terms)
-        r = enrichment.single_out(queries, df).where(f"query_id = {q}").first()
-        assert r.frame_id == -best[1] and abs(r.worth - best[0]) < 1e-5
+        best = max((round(sum(got[i, t].score for t in s & terms), 6), -i) for i, s in held.items() if s & terms)
+        assert out[q].frame_id == -best[1] and abs(out[q].worth - best[0]) < 1e-5
+    monkeypatch.setattr(enrichment, "HOT", 10)
+    assert {r.query_id: r.frame_id for r in enrichment.single_out(queries, df).collect()} == {q: r.frame_id for q, r in out.items()}
     assert enrichment.single_out(queries, df).count() == 3
     assert enrichment.enrichment(df.limit(0)).count() == 0 and enrichment.single_out(queries, df.limit(0)).count() == 0
 
