@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
-from itertools import permutations
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -118,36 +117,61 @@ def token_cost(said: str, meant: str, person: bool, given: bool) -> float:
     return best if person else min(best, abbreviation_cost(said, meant))
 
 
+def least_assignment(cost: list[list[float]]) -> float:
+    """Least total of a square cost matrix with one entry a row and column: shortest augmenting paths with potentials."""
+    n = len(cost)
+    row_gain, column_gain, row_of = [0.0] * (n + 1), [0.0] * (n + 1), [n] * (n + 1)
+    for i in range(n):
+        row_of[n], at = i, n  # column n stands for the row that is being placed
+        slack, came, done = [float("inf")] * n, [n] * n, [False] * (n + 1)
+        while row_of[at] != n:
+            done[at] = True
+            r, step, nearest = row_of[at], float("inf"), 0
+            for j in range(n):
+                if not done[j]:
+                    reduced = cost[r][j] - row_gain[r] - column_gain[j]
+                    if reduced < slack[j]:
+                        slack[j], came[j] = reduced, at
+                    if slack[j] < step:
+                        step, nearest = slack[j], j
+            for j in range(n + 1):
+                if done[j]:
+                    row_gain[row_of[j]] += step
+                    column_gain[j] -= step
+                elif j < n:
+                    slack[j] -= step
+            at = nearest
+        while at != n:
+            row_of[at], at = row_of[came[at]], came[at]
+    return sum(cost[row_of[j]][j] for j in range(n))
+
+
+def leftover_cost(said: str, person: bool) -> float:
+    """Cost of a token that means none of the entity's: initials of persons, forms of organisations, misspelled or not."""
+    if person:
+        return 0.1 if len(said) == 1 else 9.0
+    return 0.0 if said in FORMS or any(len(f) > 4 and distance(said, f, 1) <= 1 for f in FORMS) else 9.0
+
+
 def assign(said: list[str], meant: list[str], person: bool) -> float:
-    """Least total cost of giving each token of the entity a token of the mention of its own; 9 if none fits.
+    """Least total cost of giving each token of the entity a token of the mention of its own; 9 or more if none fits.
 
-    Left-over tokens may be single letters (middle initials) of persons and, misspelled or not, forms of organisations.
+    Up to three tokens may be left over, of the kinds that ``leftover_cost`` allows; they are rows of the matrix too.
     """
     if not person:
         core = [t for t in said if t not in FORMS]
         said = core if len(core) >= len(meant) else said
     if not len(meant) <= len(said) <= len(meant) + 3:
         return 9.0
+    if said == meant:
+        return 0.0
     cost = [[token_cost(s, m, person, person and k < len(meant) - 1) for s in said] for k, m in enumerate(meant)]
-    best = 9.0
-    for order in permutations(range(len(said)), len(meant)):
-        total = 0.0
-        for k, i in enumerate(order):
-            total += cost[k][i]
-            if total >= best:
-                break
-        else:
-            rest = [said[i] for i in range(len(said)) if i not in order]
-            extra = 0.0
-            for t in rest:
-                if person and len(t) == 1:
-                    extra += 0.1
-                elif not person and (t in FORMS or any(len(f) > 4 and distance(t, f, 1) <= 1 for f in FORMS)):
-                    extra += 0.0
-                else:
-                    extra = 9.0
-            best = min(best, total + extra)
-    return best
+    if len(said) > len(meant):
+        spare = [leftover_cost(s, person) for s in said]
+        cost += [spare] * (len(said) - len(meant))
+    if len(said) == 2:
+        return min(cost[0][0] + cost[1][1], cost[0][1] + cost[1][0])
+    return least_assignment(cost)
 
 
 def entity_rows(known: DataFrame) -> DataFrame:
@@ -168,20 +192,30 @@ def entity_rows(known: DataFrame) -> DataFrame:
     return known.where("entity_id is not null and display_name is not null").select("entity_id", "display_name", "kind").mapInPandas(run, "entity_id bigint, person boolean, meant array<string>, anchors array<string>, glued array<string>")
 
 
-def delete_rows(words: DataFrame, column: str, most: int | None) -> DataFrame:
+def glued_reach(name: str) -> int:
+    """Edits allowed in a whole name written together."""
+    return 0 if len(name) < 6 else 1
+
+
+def delete_rows(words: DataFrame, column: str, most: Callable[[str], int]) -> DataFrame:
     """(column, del) for every word: its symmetric-delete neighbourhood."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(w, d) for w in b[column] for d in deletes(w, reach(w) if most is None else most)]
+            rows = [(w, d) for w in b[column] for d in deletes(w, most(w))]
             yield pd.DataFrame(rows, columns=[column, "del"])
 
     return words.select(column).mapInPandas(run, f"{column} string, del string")
 
 
-def near(words: DataFrame, index: DataFrame, most: int | None) -> DataFrame:
-    """(word, anchor) pairs that share an entry of their delete neighbourhoods."""
-    left = delete_rows(words.distinct(), "word", most)
+def near(words: DataFrame, index: DataFrame, most: Callable[[str], int]) -> DataFrame:
+    """(word, anchor) pairs that share an entry of their delete neighbourhoods.
+
+    Words that are longer by more than an edit than every anchor have no neighbour and are left out before any are made.
+    """
+    longest = index.agg(F.max(F.length("anchor")).alias("_longest"))
+    words = words.distinct().crossJoin(F.broadcast(longest)).where(F.length("word") <= F.col("_longest") + 1).select("word")  # one row
+    left = delete_rows(words, "word", most)
     right = delete_rows(index.select("anchor").distinct(), "anchor", most)
     return left.join(maybe_broadcast(right), "del").select("word", "anchor").distinct()
 
@@ -204,7 +238,7 @@ def link(mentions: DataFrame, known: DataFrame, keys: list[str], column: str = "
 
     Each distinct spelling is resolved once: tokens near an entity's family name or first word by the delete index give
     candidates, optimal assignment of tokens decides; spellings without a candidate are compared run together (missing
-    or stray spaces). Nearest entity wins; a spelling as near to two entities means neither. Null and blank spellings
+    or stray spaces; exactly if shorter than six letters). Names of any length take part. Nearest entity wins; a spelling as near to two entities means neither. Null and blank spellings
     and those that mean no known entity give no row; repeated rows count once; null keys are kept; columns but ``keys``
     and ``column`` are ignored, whatever their names. An empty table on either side gives no rows.
     """
@@ -212,20 +246,20 @@ def link(mentions: DataFrame, known: DataFrame, keys: list[str], column: str = "
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            said = [tokens_of(t)[:12] for t in b.raw]
+            said = [tokens_of(t) for t in b.raw]
             yield pd.DataFrame({"raw": b.raw, "said": said, "glued": ["".join(w for w in s if w not in FORMS) for s in said]})
 
     raws = mentions.select(F.col(column).alias("raw")).where("raw is not null and trim(raw) <> ''").distinct()
     spelled = cut(raws.mapInPandas(tokenise, "raw string, said array<string>, glued string"))
     anchors = entities.select("entity_id", F.explode("anchors").alias("anchor"))
-    words = spelled.select("raw", "said", F.explode(F.array_distinct("said")).alias("word")).where("length(word) > 2")
-    close = near(words.select("word"), anchors, None)
+    words = spelled.select("raw", "said", F.explode(F.array_distinct("said")).alias("word"))
+    close = near(words.select("word"), anchors, reach)
     pairs = words.join(close, "word").join(maybe_broadcast(anchors), "anchor").select("raw", "said", "entity_id").distinct()
     first = cut(align(pairs, entities, threshold))
 
-    left = spelled.join(first.select("raw").distinct(), "raw", "left_anti").where("length(glued) >= 6")
+    left = spelled.join(first.select("raw").distinct(), "raw", "left_anti").where("glued <> ''")
     whole = entities.select("entity_id", F.explode("glued").alias("anchor"))
-    close2 = near(left.select(F.col("glued").alias("word")), whole, 1)
+    close2 = near(left.select(F.col("glued").alias("word")), whole, glued_reach).where("word = anchor or least(length(word), length(anchor)) >= 6")
     second = left.join(close2, left.glued == close2.word).join(maybe_broadcast(whole), "anchor").select("raw", "entity_id", F.lit(1.5).alias("cost")).distinct()
 
     every = first.unionByName(second)
