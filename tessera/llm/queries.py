@@ -65,6 +65,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.pairs(table(spark, d, "sketch_entries").select("frame_id", "simhash", "term_filter", "updated_at"))
 
 
+def p6_copies(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.copies(table(spark, d, "sketch_entries").select("frame_id", "simhash", "term_filter", "updated_at"))
+
+
 def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.classes(table(spark, d, "sketch_entries").select("frame_id", "simhash", "term_filter", "updated_at"))
 
@@ -126,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_worth": p5_worth,
     "p6_found": p6_found,
+    "p6_copies": p6_copies,
     "p6_classes": p6_classes,
     "p7_found": p7_found,
     "p8_containers": p8_containers,
@@ -157,6 +162,13 @@ items as (
   select 'source_spans', span_id, workbook_id, decode(bytes[a + 1:b]) from cited)
 """
 
+AGREEING = """
+u as (select frame_id, any_value(simhash) as s, any_value(term_filter) as f from sketch_entries where simhash is not null and regexp_matches(hex(term_filter), '[^0]') group by 1),
+n as (select frame_id, s, octet_length(f) as len, f::bit as b, case when octet_length(f) = 64 then unhex(hex(f)[1:64])::bit | unhex(hex(f)[65:128])::bit else f::bit end as h from u),
+agreeing as (select a.frame_id as frame_id_a, b.frame_id as frame_id_b from n a join n b on a.frame_id < b.frame_id and bit_count(xor(a.s, b.s)) <= 8
+  where case when a.len = b.len then bit_count(a.b & b.b)::double / bit_count(a.b | b.b) else bit_count(a.h & b.h)::double / bit_count(a.h | b.h) end >= 0.8)
+"""
+
 ENRICHED = """
 latest as (select frame_id, list_filter(arg_max(top_terms, updated_at), lambda t: t <> 0) as ts from sketch_entries where top_terms is not null group by 1),
 c as (select frame_id, len(ts) as slots, t.term, len(list_filter(ts, lambda x: x = t.term)) as in_record from (select frame_id, ts, unnest(list_distinct(ts)) as term from latest) t),
@@ -188,8 +200,15 @@ select distinct least(q, f) as frame_id_a, greatest(q, f) as frame_id_b from n w
     "p5_found": f"""with {ENRICHED}, q as (select distinct query_id, unnest(top_terms) as term from query_sketches)
 select query_id, frame_id from (select query_id, frame_id, sum(score) as s from q join enriched using (term) where term <> 0 group by all)
 qualify row_number() over (partition by query_id order by round(s, 7) desc, frame_id) = 1""",
-    "p6_found": """with u as (select frame_id, any_value(simhash) as s, any_value(term_filter) as f from sketch_entries where simhash is not null and regexp_matches(hex(term_filter), '[^0]') group by 1),
-n as (select frame_id, s, octet_length(f) as len, f::bit as b, case when octet_length(f) = 64 then unhex(hex(f)[1:64])::bit | unhex(hex(f)[65:128])::bit else f::bit end as h from u)
-select a.frame_id as frame_id_a, b.frame_id as frame_id_b from n a join n b on a.frame_id < b.frame_id and bit_count(xor(a.s, b.s)) <= 8
-where case when a.len = b.len then bit_count(a.b & b.b)::double / bit_count(a.b | b.b) else bit_count(a.h & b.h)::double / bit_count(a.h | b.h) end >= 0.8""",
+    "p6_found": f"with {AGREEING} select frame_id_a, frame_id_b from agreeing",
+    "p6_copies": """with u as (select frame_id, arg_max(simhash, updated_at) as s, arg_max(term_filter, updated_at) as f from sketch_entries where simhash is not null and regexp_matches(hex(term_filter), '[^0]') group by 1)
+select frame_id, min(frame_id) over w as rep, count(*) over w as copies, case when count(*) over w <= 64 then 'pairs' else 'representative' end as listed from u window w as (partition by s, f)""",
+    "p6_classes": f"""with recursive {AGREEING},
+both_ways as (select frame_id_a as a, frame_id_b as b from agreeing union select frame_id_b, frame_id_a from agreeing),
+walk(id, seen) as (select frame_id, frame_id from n union select w.id, e.b from walk w join both_ways e on e.a = w.seen),
+least_of as (select id, min(seen) as class_id from walk group by 1),
+reps as (select frame_id, min(frame_id) over (partition by s, b, len) as rep from n),
+degree as (select rep, count(*) as links from (select distinct r.rep, q.rep as other from agreeing g join reps r on r.frame_id = g.frame_id_a join reps q on q.frame_id = g.frame_id_b where r.rep <> q.rep
+  union select q.rep, r.rep from agreeing g join reps r on r.frame_id = g.frame_id_a join reps q on q.frame_id = g.frame_id_b where r.rep <> q.rep) group by 1)
+select r.frame_id, l.class_id, coalesce(d.links, 0) as links from reps r join least_of l on l.id = r.frame_id left join degree d on d.rep = r.rep""",
 }

@@ -250,11 +250,39 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, chunk):
     assert neardup.pairs(df.limit(0)).count() == 0 and neardup.classes(df.limit(0)).count() == 0
 
 
-def test_many_copies_are_linked_by_their_least(spark):
-    data = [(i, 77, bytes([3] * 32), 1) for i in range(100)]
+def test_many_copies_keep_their_links(spark):
+    f = bytes([3] * 32)
+    data = [(i, 77, f, 1) for i in range(100)] + [(i, 76, f, 1) for i in range(200, 300)] + [(400, 79, f, 1), (401, 79, f, 1), (500, ~77, f, 1)]
     df = spark.createDataFrame(data, "frame_id bigint, simhash bigint, term_filter binary, updated_at int")
-    assert rows(neardup.pairs(df)) == sorted([(0, i) for i in range(1, 100)], key=repr)
-    assert {r.class_id for r in neardup.classes(df).collect()} == {0}
+    got = set(rows(neardup.pairs(df)))
+    assert neardup.pairs(df).count() == len(got)
+    want = {(0, i) for i in range(1, 100)} | {(200, i) for i in range(201, 300)} | {(400, 401)}
+    want |= {(i, j) for i in (*range(100), *range(200, 300)) for j in (400, 401)}  # every copy to every copy of a small group
+    want |= {(i, 200) for i in range(100)} | {(0, i) for i in range(200, 300)}  # and to the least of a large one
+    assert got == want
+    assert {r.class_id for r in neardup.classes(df).collect()} == {0, 500}
+    groups = {r.frame_id: (r.rep, r.copies, r.listed) for r in neardup.copies(df).collect()}
+    assert groups[99] == (0, 100, "representative") and groups[401] == (400, 2, "pairs") and groups[500] == (500, 1, "pairs")
+
+
+@pytest.mark.parametrize("copies", [65, 1000])
+def test_copies_are_pairs_or_members(spark, copies):
+    df = spark.createDataFrame([(i, 5, bytes([7] * 32), 1) for i in range(copies)], "frame_id bigint, simhash bigint, term_filter binary, updated_at int")
+    assert set(rows(neardup.pairs(df))) == {(0, i) for i in range(1, copies)}
+
+
+@pytest.mark.parametrize("number", [10, 11, 12, 13])
+def test_every_close_pair_is_under_one_choice(number):
+    blocks = neardup.Blocks(number)
+    rng = random.Random(number)
+    for _ in range(60):
+        d = 0
+        for _ in range(rng.randint(0, 8)):
+            d |= 1 << rng.randrange(64)
+        same = {k for k in range(number) if not (d >> blocks.edges[k]) & ((1 << blocks.edges[k + 1] - blocks.edges[k]) - 1)}
+        hits = [c for c in range(len(blocks.choices)) if same.issuperset(blocks.choices[c]) and blocks.first(np.array([d], np.uint64), c)[0]]
+        assert len(hits) == 1
+    assert [neardup.blocks_for(n).number for n in (10**3, 3 * 10**5, 10**7, 10**9)] == [10, 10, 11, 13]
 
 
 # 7. Names
