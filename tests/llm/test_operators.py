@@ -169,6 +169,26 @@ def test_knn_recall_and_dirty_vectors(spark):
     assert knn.nearest(df.limit(1)).count() == 0
 
 
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_knn_window_reaches_over_partition_edges(spark, monkeypatch, tasks):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((900, 8)).astype(np.float32)
+    v[300:320] = v[300]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "frame_id bigint, embedding array<float>")
+    monkeypatch.setattr(knn, "MOST_TASKS", tasks)
+    monkeypatch.setattr(knn, "TILE", 16)
+    got = {}
+    for r in knn.nearest(df, 4, width=8, curves=1, window=60, dims=8).collect():
+        got.setdefault(r.query_frame_id, []).append(round(r.distance, 9))
+    # all rows within the window in the one ordering, the plain way
+    norm = np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1.0)
+    at = np.lexsort((np.arange(900), knn.curve_keys(v / norm, 0, 2.0 / np.sqrt(8), 8, 3)))
+    for place in range(900):
+        others = [j for j in range(max(0, place - 60), min(900, place + 61)) if j != place]
+        want = sorted(float(np.sqrt(((v[at[place]].astype(float) - v[at[j]].astype(float)) ** 2).sum())) for j in others)[:4]
+        assert len(got[at[place]]) == 4 and all(x <= y + 1e-6 for x, y in zip(sorted(got[at[place]]), want))
+
+
 # 5. Enrichment
 def test_upper_tail_is_exact():
     for population, holders, draws, count in [(50, 7, 6, 1), (50, 7, 6, 3), (40, 40, 5, 2), (30, 1, 4, 1), (30, 3, 4, 0), (10, 2, 5, 3)]:
