@@ -7,33 +7,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_CHARS, MAX_CHUNKS = 1200, 500
 ROW_END = re.compile(r"\r\n|\n")
+SENTENCE_END = re.compile(r"[.!?…؟۔।]+[\"'”’»)\]]*\s+|[。！？｡][」』”’）]*\s*")
+SPACE = re.compile(r"\s+")
 
 
-def boundaries(text: str, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(node, piece start or -1 for none, piece end, successor node index, longest row) of every boundary of one text.
+def inner_places(row: str, room: int) -> list[np.ndarray]:
+    """Sentence starts, word starts, graphemes and other places inside a long row at which a piece may be cut.
 
-    Boundaries are the row starts, and inside rows longer than ``most`` the places that a chain of full pieces from the
-    row's start reaches. The successor of a boundary is the start of the row after the last row that still ends within
-    ``most`` of the piece's start, else the next place inside the long row. The overlap shrinks where the first row
-    after a cut would not fit beside it, since a row that fits is never cut.
+    Graphemes are those of stretches without a word start that are longer than ``room``, the other places those inside a
+    grapheme that is longer itself.
+    """
+    sentence = np.array([m.end() for m in SENTENCE_END.finditer(row)], dtype=np.int64)
+    word = np.array([m.end() for m in SPACE.finditer(row)], dtype=np.int64)
+    grapheme: list[int] = []
+    other: list[int] = []
+    stops = np.unique(np.concatenate([[0], word, [len(row)]]))
+    for i in np.flatnonzero(np.diff(stops) > room):
+        at = int(stops[i])
+        for m in regex.finditer(r"\X", row[at : int(stops[i + 1])]):
+            grapheme.append(at + m.end())
+            if m.end() - m.start() > room:
+                other += range(at + m.start() + 1, at + m.end())
+    return [sentence, word, np.array(grapheme, dtype=np.int64), np.array(other, dtype=np.int64)]
+
+
+def farthest(places: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The last of the sorted places that is not beyond each reach, -1 if there is none."""
+    at = np.searchsorted(places, reach, side="right") - 1
+    return np.where(at >= 0, np.append(places, 0)[at], -1)
+
+
+def boundaries(text: str, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, piece start or -1 for none, piece end, successor node index, cut inside a row) of every boundary of one text.
+
+    Boundaries are the row starts, and inside rows longer than ``most`` sentence starts, word starts and, where these are
+    too far apart, graphemes. The successor of a boundary is the start of the row after the last row that still ends
+    within ``most`` of the piece's start. Where that row alone is too long, it is the farthest sentence start within
+    reach if that is at least half way, else the farthest word start, else the farthest grapheme. The overlap shrinks
+    where the first row after a cut would not fit beside it, since a row that fits is never cut.
     """
     ends = [(m.start(), m.end()) for m in ROW_END.finditer(text)]
     end = np.array([a for a, _ in ends] + [len(text)], dtype=np.int64)
     start = np.array([0] + [b for _, b in ends], dtype=np.int64)
     length = end - start
-    longest = int(length.max())
-    inner = []
+    none = np.empty(0, np.int64)
+    kinds = [[none], [none], [none], [none]]
     for s, e in zip(start[length > most].tolist(), end[length > most].tolist()):
-        first = s - min(overlap, s) + most
-        inner.append(np.arange(first, e, most - overlap))
-        stop = np.nonzero(inner[-1] - overlap + most >= e)[0]
-        inner[-1] = inner[-1][: stop[0] + 1] if len(stop) else inner[-1]
-    node = np.sort(np.concatenate([start, *inner])) if inner else start
+        for kind, found in zip(kinds, inner_places(text[s:e], most - overlap)):
+            kind.append(found + s)
+    places = [np.concatenate(k) for k in kinds]
+    node = np.unique(np.concatenate([start, *places]))
+    node = node[np.isin(node, start) | ~np.isin(node, end)]
     row = np.searchsorted(start, node, side="right") - 1
     fits = length[row] <= most
     room = np.where(fits, most - length[row], overlap)
@@ -42,10 +72,13 @@ def boundaries(text: str, most: int, overlap: int) -> tuple[np.ndarray, np.ndarr
     last = np.searchsorted(end, reach, side="right") - 1
     whole = last >= row
     after = np.append(start, len(text) + 1)[np.minimum(last + 1, len(start))]
-    target = np.where(whole, after, reach)
-    stop = np.where(whole, end[np.maximum(last, 0)], reach)
+    by_sentence, by_word, by_grapheme, by_other = (farthest(p, reach) for p in places)
+    natural = np.where(by_word > node, by_word, np.where(by_grapheme > node, by_grapheme, by_other))
+    natural = np.where(2 * (by_sentence - node) >= reach - node, by_sentence, natural)
+    target = np.where(whole, after, natural)
+    stop = np.where(whole, end[np.maximum(last, 0)], natural)
     begin = np.where(node >= len(text), -1, begin)  # an empty last row adds nothing
-    return node, begin, stop, np.searchsorted(node, target), longest
+    return node, begin, stop, np.searchsorted(node, target), ~whole
 
 
 def greedy_cuts(successor: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -62,32 +95,33 @@ def greedy_cuts(successor: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def split_batch(texts: list[str], most: list[int], overlap: list[int]) -> pd.DataFrame:
-    """All pieces of a batch of texts: item (position in the batch), start, end, hard (ends inside a row), longest."""
+    """All pieces of a batch of texts: item (position in the batch), start, end, inside (ends inside a row)."""
     parts, base, owner, heads = [], 0, [], []
     for i, (t, m, o) in enumerate(zip(texts, most, overlap)):
         m = max(int(m), 1)
-        node, begin, stop, succ, longest = boundaries(t, m, min(max(int(o), 0), m - 1))
+        node, begin, stop, succ, inside = boundaries(t, m, min(max(int(o), 0), m - 1))
         n = len(node)
-        parts.append((begin, stop, np.where(succ >= n, base + n, base + succ), np.full(n, longest)))
+        parts.append((begin, stop, np.where(succ >= n, base + n, base + succ), inside))
         # a last node of its own ends each chain
-        parts.append((np.array([-1]), np.array([-1]), np.array([base + n]), np.array([longest])))
+        parts.append((np.array([-1]), np.array([-1]), np.array([base + n]), np.array([False])))
         owner.append(np.full(n + 1, i))
         heads.append(base)
         base += n + 1
-    begin, stop, succ, longest = (np.concatenate(c) for c in zip(*parts))
+    begin, stop, succ, inside = (np.concatenate(c) for c in zip(*parts))
     on = greedy_cuts(succ, np.array(heads)) & (begin >= 0) & (stop > begin)
     item = np.concatenate(owner)
-    return pd.DataFrame({"item": item[on], "start": begin[on], "end": stop[on], "longest": longest[on]})
+    return pd.DataFrame({"item": item[on], "start": begin[on], "end": stop[on], "inside": inside[on]})
 
 
 def split(items: DataFrame, summary: bool = False) -> DataFrame:
     """Pieces of the items (source_table, item_id, text, max_chars, overlap_chars, max_chunks) longer than max_chars.
 
     Pieces: (source_table, item_id, piece_no, char_start, char_end, piece); each has at most max_chars code points, is
-    cut at row ends unless a row alone is longer, starts overlap_chars before the cut (less where the next row would
-    not fit, at most max_chars - 1), and pieces after the first max_chunks of a text are left out, as asked for. The
-    line end at a cut belongs to no piece. With ``summary``: (source_table, item_id, n_chars, n_pieces, longest_row,
-    cut_kind) of each oversized item instead.
+    cut at row ends unless a row alone is longer (that one at sentence starts, else word starts, else graphemes), starts
+    overlap_chars before the cut (less where the next row would not fit, at most max_chars - 1), and pieces after the first max_chunks of a text are left out, as asked for. The
+    line end at a cut belongs to no piece. With ``summary``: (source_table, item_id, n_chars, n_pieces, n_inside,
+    cut_kind) of each oversized item instead: n_inside counts the pieces that end inside a row; cut_kind is capped if
+    the text is longer than max_chars * max_chunks, else inside_row if there is such a piece, else between_rows.
 
     Null text, and texts within the limit, give nothing; null max_chars is 1200, null max_chunks 500, null overlap 0;
     limits under 1 count as 1. Texts are whole, of any length. Rows repeat if items repeat. Other columns are ignored.
@@ -109,16 +143,16 @@ def split(items: DataFrame, summary: bool = False) -> DataFrame:
                 number = p.groupby("item").cumcount() + 1
                 if summary:
                     n = np.array([len(t) for t in texts])
-                    got = p.groupby("item").agg(n_pieces=("start", "size"), longest=("longest", "first")).reindex(range(len(b)), fill_value=0)
-                    kind = np.where(n > b.most * b.chunks, "capped", np.where(got.longest.to_numpy() > b.most, "inside_row", "between_rows"))
-                    yield pd.DataFrame({"source_table": b.source_table, "item_id": b.item_id, "n_chars": n, "n_pieces": np.minimum(got.n_pieces.to_numpy(), b.chunks), "longest_row": got.longest.to_numpy(), "cut_kind": kind})
+                    got = p.groupby("item").agg(n_pieces=("start", "size"), inside=("inside", "sum")).reindex(range(len(b)), fill_value=0)
+                    kind = np.where(n > b.most * b.chunks, "capped", np.where(got.inside.to_numpy() > 0, "inside_row", "between_rows"))
+                    yield pd.DataFrame({"source_table": b.source_table, "item_id": b.item_id, "n_chars": n, "n_pieces": np.minimum(got.n_pieces.to_numpy(), b.chunks), "n_inside": got.inside.to_numpy(), "cut_kind": kind})
                     continue
                 out = pd.DataFrame({"source_table": own.source_table, "item_id": own.item_id, "piece_no": number, "char_start": p.start, "char_end": p.end})
                 out["piece"] = [texts[i][s:e] for i, s, e in zip(p["item"], p["start"], p["end"])]
                 yield out[(number <= own.chunks).to_numpy()]
 
     if summary:
-        return big.mapInPandas(pieces, "source_table string, item_id bigint, n_chars bigint, n_pieces bigint, longest_row bigint, cut_kind string")
+        return big.mapInPandas(pieces, "source_table string, item_id bigint, n_chars bigint, n_pieces bigint, n_inside bigint, cut_kind string")
     return big.mapInPandas(pieces, "source_table string, item_id bigint, piece_no bigint, char_start bigint, char_end bigint, piece string")
 
 

@@ -79,9 +79,11 @@ def test_fusion_against_brute_force(spark):
 # 3. Splitting
 def greedy(text, most, overlap):
     """Pieces one after another, the plain way."""
-    rows_, at = [], 0
     import re
 
+    import regex
+
+    rows_, at = [], 0
     for m in re.finditer(r"\r\n|\n", text):
         rows_.append((at, m.start()))
         at = m.end()
@@ -97,15 +99,21 @@ def greedy(text, most, overlap):
             stop = rows_[last][1]
             nxt = rows_[last + 1][0] if last + 1 < len(rows_) else len(text) + 1
         else:
-            stop = nxt = a + most
+            row, limit = text[s:e], a + most
+            inside = lambda ps: max((s + p for p in ps if b < s + p <= limit), default=-1)  # noqa: B023, E731
+            sentence = inside([m.end() for m in re.finditer(r"[.!?]+\s+", row)])
+            word = inside([m.end() for m in re.finditer(r"\s+", row)])
+            stop = nxt = sentence if 2 * (sentence - b) >= limit - b else word if word > 0 else inside([m.end() for m in regex.finditer(r"\X", row)])
+            if stop < 0:
+                stop = nxt = limit
         if stop > a:
             out.append((a, stop))
         b = nxt
     return out
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="abé", max_size=14), max_size=14), st.integers(1, 12), st.integers(0, 5), st.sampled_from(["\n", "\r\n"]))
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abé .", max_size=24), max_size=10), st.integers(1, 12), st.integers(0, 5), st.sampled_from(["\n", "\r\n"]))
 def test_split_equals_the_plain_way(lines, most, overlap, end):
     text = end.join(lines)
     if not text:
@@ -118,6 +126,12 @@ def test_split_equals_the_plain_way(lines, most, overlap, end):
     assert all(text[i] in "\r\n" for i in set(range(len(text))) - covered)
 
 
+def test_long_rows_are_cut_at_sentences_then_words():
+    text = "First sentence here. Second one follows it. " + "word " * 8 + "x" * 30
+    p = splitting.split_batch([text], [24], [0])
+    assert [text[a:b] for a, b in zip(p.start, p.end)][:5] == ["First sentence here. ", "Second one follows it. ", "word word word word ", "word word word word ", "x" * 24]
+
+
 def test_split_dirty_rows(spark):
     long = "x" * 250000
     df = spark.createDataFrame(
