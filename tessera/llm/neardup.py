@@ -112,7 +112,7 @@ def linked(reps: DataFrame) -> DataFrame:
     base = reps.select("rep", "simhash", "term_filter").mapInArrow(words, "rep bigint, simhash bigint, parity bigint, size int")
     blocks = blocks_for(reps.count())
     rows = base.select("rep", "simhash", "parity", "size", F.explode(F.expr(f"array({blocks.keys()})")).alias("key"))
-    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {CHUNK}").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("g"))
+    hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {CHUNK}").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("g")))  # written, so that its size is known
     rows = rows.join(maybe_broadcast(hot), "key", "left").withColumn("chunk", F.coalesce(F.expr("cast(pmod(xxhash64(rep), g) as int)"), F.lit(0)))
     task = F.expr("case when g is null then array(0) else transform(sequence(0, g - 1), x -> least(x, chunk) * g + greatest(x, chunk)) end")
     rows = rows.select("key", F.explode(task).alias("task"), "chunk", "rep", "simhash", "parity", "size")
