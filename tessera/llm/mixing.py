@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import maybe_broadcast, prefix_sums
+from tessera.runtime import cut, maybe_broadcast, prefix_sums
 
 #: Ranges of sampling keys over which a source's prefix sum is spread.
-KEY_BUCKETS = 256
+KEY_BUCKETS = 512
 
 
 def sampling_key(item: Column, weight: Column, seed: int) -> Column:
@@ -38,9 +38,9 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: int | None) -> DataFram
 def mix(documents: DataFrame, targets: DataFrame, item: str = "doc_id", source: str = "source", size: str = "size", weight: str = "weight", total: int | None = None, seed: int = 17) -> DataFrame:
     """(item, source, size, repeats): the documents of the mixture and how often each is used.
 
-    Every document of a source is used in each complete epoch; of the last, partial one the sampled order decides: a
-    document is in if the middle of its tokens lies within the tokens left, so a source misses its budget by at most
-    half a document. Source names are compared without case and outer spaces. Documents without tokens or of no target
+    Every document of a source is used in each complete epoch; of the last, partial one the sampled order decides:
+    the documents that come first are in as far as they fit, and then the one further document whose size comes nearest
+    to the tokens still left, if that is nearer than leaving them. Source names are compared without case and outer spaces. Documents without tokens or of no target
     source are left out, null, zero or negative weights count as the least weight, ties of keys go to the smaller id,
     targets without documents take no part, and an empty table gives no rows. Other columns are ignored.
     """
@@ -48,10 +48,13 @@ def mix(documents: DataFrame, targets: DataFrame, item: str = "doc_id", source:
     docs = docs.where("size > 0 and source is not null")
     plan = budgets(docs, targets, total)
     keyed = docs.join(maybe_broadcast(plan), "source").withColumn("key", sampling_key(F.col("item"), F.col("weight"), seed))
-    # 1 - exp(-key) is a growing function of the key within (0, 1): a bounded number of buckets, none of them hot
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key") * 0.7)) * KEY_BUCKETS), F.lit(KEY_BUCKETS - 1))
-    ordered = prefix_sums(keyed, ["source"], F.col("key"), F.col("size"), bucket, ["item"])
-    chosen = ordered.withColumn("repeats", F.col("epochs") + F.expr("if(_before + size / 2 <= part, 1, 0)")).where("repeats > 0")
+    # the logarithm of a key is spread over a few units around that of 1 / weight, whatever the weight (from 1e-6 to 1e6)
+    bucket = F.least(F.greatest(F.floor((F.log("key") + 18) * (KEY_BUCKETS / 36)), F.lit(0)), F.lit(KEY_BUCKETS - 1))
+    ordered = cut(prefix_sums(keyed, ["source"], F.col("key"), F.col("size"), bucket, ["item"]).withColumn("inside", F.expr("_before + size <= part")))
+    room = ordered.groupBy("source").agg(F.expr("max(part) - coalesce(max(if(inside, _before + size, null)), 0)").alias("room"))
+    rest = ordered.where("not inside").join(maybe_broadcast(room), "source").withColumn("off", F.abs(F.col("size") - F.col("room"))).where("off < room")
+    last = rest.groupBy("source").agg(F.min(F.struct("off", "key", "item")).alias("last")).select("source", F.col("last.item").alias("last"))  # a row for each target
+    chosen = ordered.join(F.broadcast(last), "source", "left").withColumn("repeats", F.col("epochs") + F.expr("if(inside or coalesce(item = last, false), 1, 0)")).where("repeats > 0")
     return chosen.select(F.col("item").alias(item), "source", "size", F.least("repeats", F.col("max_repeats").cast("bigint")).alias("repeats"))
 
 

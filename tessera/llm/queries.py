@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import enrichment, fusion, knn, mixing, names, neardup, packing, pii, sentences, splitting
-from tessera.runtime import cut, table
+from tessera.runtime import cut, maybe_broadcast, table
 
 
 def report_scores(spark: SparkSession, d: str) -> DataFrame:
-    """All score lists of the reports that have rows in scored_index, oriented so that higher is better."""
+    """All score lists of the reports that have rows in scored_index, oriented so that higher is better.
+
+    A retriever that is not in the table of retrievers counts as one whose higher scores are better.
+    """
     scored = table(spark, d, "scored_index").select("report_id", "retriever", "frame_id", "score")
     ways = table(spark, d, "retrievers").select("retriever", "higher_is_better")
-    lists = scored.join(F.broadcast(ways), "retriever").select("report_id", F.col("retriever").alias("list_id"), "frame_id", F.expr("if(higher_is_better, cast(score as double), -cast(score as double))").alias("value"))
+    lists = scored.join(maybe_broadcast(ways), "retriever", "left").select("report_id", F.col("retriever").alias("list_id"), "frame_id", F.expr("if(coalesce(higher_is_better, true), cast(score as double), -cast(score as double))").alias("value"))
     spans = table(spark, d, "source_spans").where("frame_id is not null").select("report_id", F.lit("source_spans").alias("list_id"), "frame_id", F.col("score").cast("double").alias("value"))
     known = scored.select("report_id").distinct()
     return lists.unionByName(spans.join(known, "report_id", "left_semi"))
@@ -43,6 +46,29 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(sheet_items(spark, d))
 
 
+def p3_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """(source_table, item_id, n_chars, too_long, lost): of every oversized text that is not capped, how many pieces break
+    the limit, and how many characters other than line ends are in no piece."""
+    items = sheet_items(spark, d).select("source_table", "item_id", "text", F.greatest(F.coalesce("max_chars", F.lit(splitting.MAX_CHARS)), F.lit(1)).alias("most"), F.coalesce("max_chunks", F.lit(splitting.MAX_CHUNKS)).alias("chunks"))
+    big = items.where("length(text) > most and length(text) <= cast(most as bigint) * chunks")
+    pieces = splitting.split(sheet_items(spark, d).withColumn("max_chunks", F.lit(1 << 30)))
+    got = pieces.groupBy("source_table", "item_id").agg(F.max(F.length("piece")).alias("longest"), F.array_sort(F.collect_list(F.struct("char_start", "char_end"))).alias("ps"))
+    gaps = "aggregate(ps, struct(0L as at, '' as gap), (a, p) -> struct(greatest(a.at, p.char_end) as at, concat(a.gap, substring(text, cast(a.at + 1 as int), cast(p.char_start - a.at as int))) as gap), a -> concat(a.gap, substring(text, cast(a.at + 1 as int))))"
+    out = big.join(got, ["source_table", "item_id"], "left")
+    return out.select("source_table", "item_id", F.length("text").cast("bigint").alias("n_chars"), F.expr("coalesce(longest > most, true)").alias("too_long"), F.length(F.expr(f"regexp_replace({gaps}, '[\\r\\n]', '')")).cast("bigint").alias("lost"))
+
+
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """(near_true, near_enough, all_true, all_enough) of the frames whose id is divisible by 50 against all rows: how many of
+    their 5 nearest there are (nearer than 0.5, and all) and whether at least 0.9 of them are found."""
+    vectors = table(spark, d, "vec_documents").select("frame_id", "embedding", "added_at")
+    found = knn.nearest(vectors).where("query_frame_id % 50 = 0")
+    true = knn.exact(vectors, "frame_id % 50 = 0")
+    both = true.join(found.select("query_frame_id", "frame_id", F.lit(1).alias("hit")), ["query_frame_id", "frame_id"], "left")
+    sums = both.agg(F.count(F.expr("if(distance < 0.5, 1, null)")).alias("near_true"), F.count(F.expr("if(distance < 0.5, hit, null)")).alias("near_found"), F.count("*").alias("all_true"), F.count("hit").alias("all_found"))
+    return sums.select("near_true", F.expr("near_found >= 0.9 * near_true").alias("near_enough"), "all_true", F.expr("all_found >= 0.9 * all_true").alias("all_enough"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     near = knn.nearest(table(spark, d, "vec_documents").select("frame_id", "embedding", "added_at")).where("distance < 0.5")
     return near.select(F.least("query_frame_id", "frame_id").alias("frame_id_a"), F.greatest("query_frame_id", "frame_id").alias("frame_id_b")).distinct()
@@ -95,6 +121,17 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sized)
 
 
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """(documents, overfull, split_short, unplaced): every document of the table, containers above the capacity, documents
+    that are cut though they fit into a container, and documents with tokens but without one."""
+    sized = cut(packing.token_sizes(table(spark, d, "documents").select("doc_id", "text")))
+    put = cut(packing.pack(sized))
+    full = put.where("container is not null").groupBy("container").agg(F.sum("size").alias("held")).agg(F.count(F.expr(f"if(held > {packing.CAPACITY}, 1, null)")).alias("overfull"))
+    each = sized.join(put.groupBy("doc_id").agg(F.count("container").alias("pieces"), F.sum("size").alias("placed")), "doc_id")
+    sums = each.agg(F.count("*").alias("documents"), F.count(F.expr(f"if(pieces > 1 and size <= {packing.CAPACITY}, 1, null)")).alias("split_short"), F.count(F.expr("if(size > 0 and placed <> size, 1, null)")).alias("unplaced"))
+    return sums.crossJoin(F.broadcast(full))  # one row each
+
+
 def sized_sources(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their tokens and a quality weight: the share of letters in the text."""
     letters = F.expr("0.05D + length(regexp_replace(text, '[^\\\\p{L}\\\\p{M}]', '')) / length(text)")
@@ -105,11 +142,26 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(sized_sources(spark, d), table(spark, d, "mix_targets"))
 
 
-def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+def p9_actual_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
     return mixing.shares(mixing.mix(sized_sources(spark, d), targets), targets)
 
 
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """(source, target_share, has_documents, within_cap, close): whether the mixture keeps to each target: no document used
+    more than max_repeats times, and a share within a point and half of the source's largest document of the target rescaled
+    to the sources with documents."""
+    targets = table(spark, d, "mix_targets")
+    sized = sized_sources(spark, d)
+    reached = mixing.shares(mixing.mix(sized, targets), targets)
+    largest = sized.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("size").alias("largest"))
+    caps = targets.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("max_repeats").alias("cap"))
+    live = reached.agg(F.sum(F.expr("if(tokens > 0, target_share, 0D)")).alias("live"), F.sum("tokens").alias("total"))
+    out = reached.join(caps, "source").join(largest, "source", "left").crossJoin(F.broadcast(live))  # one row
+    near = F.expr("tokens = 0 or abs(actual_share - target_share / live) <= 0.01 + largest / total / 2")
+    return out.select("source", "target_share", F.expr("tokens > 0").alias("has_documents"), F.expr("most_repeats <= cap").alias("within_cap"), near.alias("close"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.units(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "sent_start")
 
@@ -125,8 +177,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_ranking": p2_ranking,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_round_trip": p3_round_trip,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
+    "p4_recall": p4_recall,
     "p5_found": p5_found,
     "p5_worth": p5_worth,
     "p6_found": p6_found,
@@ -134,7 +188,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_classes": p6_classes,
     "p7_found": p7_found,
     "p8_containers": p8_containers,
+    "p8_checked": p8_checked,
     "p9_mixture": p9_mixture,
+    "p9_actual_shares": p9_actual_shares,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_units": p10_units,
@@ -142,8 +198,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 LISTS = """
 scores as (
-  select s.report_id, s.retriever as list_id, s.frame_id, case when r.higher_is_better then s.score::double else -s.score::double end as value
-  from scored_index s join retrievers r using (retriever)
+  select s.report_id, s.retriever as list_id, s.frame_id, case when coalesce(r.higher_is_better, true) then s.score::double else -s.score::double end as value
+  from scored_index s left join retrievers r using (retriever)
   union all
   select report_id, 'source_spans', frame_id, score::double from source_spans where frame_id is not null and report_id in (select report_id from scored_index)),
 best as (select report_id, list_id, frame_id, max(value) as value from scores where value is not null and not isnan(value) group by all),
@@ -196,6 +252,17 @@ where length(text) > max_chars""",
 d as (select a.frame_id as q, b.frame_id as f, array_distance(a.e, b.e) as d from v a join v b on a.frame_id <> b.frame_id),
 n as (select q, f, d from d qualify row_number() over (partition by q order by d, f) <= 5)
 select distinct least(q, f) as frame_id_a, greatest(q, f) as frame_id_b from n where d < 0.5""",
+    "p3_round_trip": f"""with {ITEMS}
+select source_table, item_id, length(text)::bigint as n_chars, false as too_long, 0::bigint as lost
+from (select i.source_table, i.item_id, i.text, coalesce(o.max_chars, 1200) as max_chars, coalesce(o.max_chunks, 500) as max_chunks from items i left join opts o using (workbook_id))
+where length(text) > max_chars and length(text) <= max_chars::bigint * max_chunks""",
+    "p4_recall": """with v as (select frame_id, arg_max(embedding, added_at)::double[64] as e from vec_documents where len(embedding) = 64 and list_max(list_transform(embedding, lambda x: abs(x))) > 0 group by 1),
+n as (select a.frame_id as q, array_distance(a.e, b.e) as d from v a join v b on a.frame_id <> b.frame_id where a.frame_id % 50 = 0 qualify row_number() over (partition by a.frame_id order by d, b.frame_id) <= 5)
+select count(*) filter (where d < 0.5) as near_true, true as near_enough, count(*) as all_true, true as all_enough from n""",
+    "p8_checked": "select count(*) as documents, 0::bigint as overfull, 0::bigint as split_short, 0::bigint as unplaced from documents",
+    "p9_shares": """with t as (select lower(trim(source)) as source, max(target_share) as target_share from mix_targets group by 1),
+live as (select source, target_share from t where source in (select lower(trim(source)) from documents where text <> ''))
+select source, target_share, coalesce(source in (select source from live), false) as has_documents, true as within_cap, true as close from t""",
     "p5_worth": f"""with {ENRICHED} select frame_id, term, in_record::bigint as in_record, holders::bigint as holders, round(log_p, 6) as log_p, round(score, 6) as score from enriched""",
     "p5_found": f"""with {ENRICHED}, q as (select distinct query_id, unnest(top_terms) as term from query_sketches)
 select query_id, frame_id from (select query_id, frame_id, sum(score) as s from q join enriched using (term) where term <> 0 group by all)
