@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 PREVIEW, TEXT_LIMIT = 120, 32768
 CHUNK_TARGET, CHUNK_LEAST = 1200, 2400
-SECTION_SOFT, SECTION_HARD, SECTIONS_MOST = 900, 1400, 2048
+SECTION_SOFT, SECTION_HARD = 900, 1400
 
 # Patterns of personal data and secrets, in the order in which they are masked.
 MASKS = [
@@ -37,6 +37,14 @@ STOP_WORDS = set(
 )
 
 
+# Words that are no keywords of a text.
+KEYWORD_STOPS = set(
+    """the and for with that from this were have has will shall into about without within between because over under after before until while their there these those your such been
+    where when which using also than could would should might cannot however therefore thereof hereby herein hereof based system application service provide provided including
+    include includes version update updates usage""".split()
+)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits; null text gives an empty array."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
@@ -76,6 +84,27 @@ def preview(text: Column) -> Column:
     return F.substring(text, 1, PREVIEW)
 
 
+def media_preview(text: Column, caption: Column, summary: Column) -> Column:
+    """What is shown of a frame: an image's caption, else a video's summary, else the head of its text."""
+    filled = lambda c: F.when(F.trim(c) != "", c)
+    return F.coalesce(filled(caption), filled(summary), preview(text))
+
+
+def merge_unique(first: Column, second: Column) -> Column:
+    """The values of two arrays in their order, each once."""
+    return F.array_distinct(F.concat(F.coalesce(first, F.array().cast("array<string>")), F.coalesce(second, F.array().cast("array<string>"))))
+
+
+def rfc3339(ts: Column) -> Column:
+    """Unix seconds as a time in UTC, like 2024-05-03T10:00:00Z, whatever the session's zone is."""
+    return F.date_format(F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def latest_content_date(written: Column) -> Column:
+    """The latest of an array of written dates, in unix seconds; null if none can be read."""
+    return F.array_max(F.transform(written, content_date))
+
+
 def base_uri(uri: Column) -> Column:
     return F.substring_index(uri, "#", 1)
 
@@ -92,10 +121,9 @@ def inferred_title(uri: Column) -> Column:
 
 
 def keywords(text: Column) -> Column:
-    """Lower-case words of three letters and more that are no stop words."""
+    """Lower-case words and numbers of three characters and more that are no stop words of keywords."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9][a-z0-9'-]+)"), 1)
-    stop = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
-    return F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w) & ~w.rlike(r"^[0-9'-]+$"))
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(sorted(KEYWORD_STOPS)))
 
 
 def label_lines(text: Column) -> Column:
@@ -193,7 +221,7 @@ BREAK = re.compile(r"[.!?…。！？]['\"”»)\]]*(?=\s)|\n")
 def section_spans(text: str) -> list[tuple[int, int]]:
     """Sections of about 900 and at most 1,400 characters that end at sentence ends or newlines where there is one."""
     out, at = [], 0
-    while at < len(text) and len(out) < SECTIONS_MOST:
+    while at < len(text):
         stop = min(at + SECTION_HARD, len(text))
         if len(text) - at > SECTION_HARD:
             m = BREAK.search(text, at + SECTION_SOFT, stop)
@@ -207,8 +235,6 @@ def section_spans(text: str) -> list[tuple[int, int]]:
             stop = m.end() if m else len(text)
         out.append((at, stop))
         at = stop
-    if out and at < len(text):
-        out[-1] = (out[-1][0], len(text))
     return out
 
 

@@ -28,8 +28,9 @@ def sanitise(question: str) -> str:
 
 
 def kinds(question: str) -> set[str]:
-    low = f" {question.lower()} "
-    return {k for k, marks in MARKS.items() if any(f" {m}" in low for m in marks)}
+    """The kinds of a question, by whole words."""
+    low = " " + " ".join(re.findall(r"[a-z0-9]+", question.lower())) + " "
+    return {k for k, marks in MARKS.items() if any(f" {m} " in low for m in marks)}
 
 
 def variants(word: str) -> list[str]:

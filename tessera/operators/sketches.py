@@ -29,11 +29,27 @@ def simhash(weights: DataFrame, bits: int = 60) -> DataFrame:
     return sums.select("frame_id", F.expr(total).alias("simhash"))
 
 
+def spots(term: Column, bits: int = 256) -> Column:
+    """The three bit positions of a term."""
+    h = token_hash(term)
+    return F.array(*[F.pmod(F.shiftright(h, s), F.lit(bits)).cast("int") for s in (0, 16, 32)])
+
+
 def bloom(weights: DataFrame, bits: int = 256) -> DataFrame:
-    """(frame_id, filter): the set bit positions of three per term, sorted, as an array."""
-    h = token_hash(F.col("term"))
-    spots = F.array(*[F.pmod(F.shiftright(h, s), F.lit(bits)).cast("int") for s in (0, 16, 32)])
-    return weights.select("frame_id", F.explode(spots).alias("p")).groupBy("frame_id").agg(F.array_sort(F.collect_set("p")).alias("filter"))
+    """(frame_id, filter): a filter of ``bits`` bits, three a term, as an array of 64-bit words."""
+    each = weights.select("frame_id", F.explode(spots(F.col("term"), bits)).alias("p"))
+    words = [F.bit_or(F.expr(f"if(p div 64 = {w}, shiftleft(1L, p % 64), 0L)")).alias(f"w{w}") for w in range(bits // 64)]
+    return each.groupBy("frame_id").agg(*words).select("frame_id", F.array(*[f"w{w}" for w in range(bits // 64)]).alias("filter"))
+
+
+def may_contain(filter_: Column, term: Column, bits: int = 256) -> Column:
+    """Whether a filter may hold a term: all its positions are set. No false negatives."""
+    return F.forall(spots(term, bits), lambda p: F.call_function("shiftrightunsigned", F.element_at(filter_, (p / 64).cast("int") + 1), p % 64).bitwiseAND(1) == 1)
+
+
+def share_bits(a: Column, b: Column) -> Column:
+    """Whether two filters of equal size have a set bit in common."""
+    return F.exists(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)), lambda w: w != 0)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from datetime import date, datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
@@ -192,6 +192,55 @@ def mentions(frames: DataFrame, text: str = "search_text") -> DataFrame:
     return frames.select("frame_id", "ts", text).mapInPandas(run, "frame_id bigint, char_start bigint, char_end bigint, phrase string, start bigint, stop bigint, confidence int")
 
 
+def resolved(phrase: Column, ts: Column) -> Column:
+    """A struct (start, stop, confidence) of a column of phrases at a column of moments (unix seconds), null if not understood."""
+
+    @F.pandas_udf("struct<start: bigint, stop: bigint, confidence: int>")
+    def run(phrases: pd.Series, moments: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, t in zip(phrases, moments):
+            try:
+                a, z, c = resolve(p, datetime.fromtimestamp(int(t), timezone.utc))
+                out.append((int(a.timestamp()), int(z.timestamp()), c))
+            except (PhraseError, ValueError, TypeError, AttributeError):
+                out.append((None, None, None))
+        return pd.DataFrame(out, columns=["start", "stop", "confidence"]).astype({"start": "Int64", "stop": "Int64", "confidence": "Int32"})
+
+    found = run(phrase, ts)
+    return F.when(found["start"].isNotNull(), found)
+
+
+def enriched_text(text: Column, ts: Column) -> Column:
+    """``enriched`` for a column of texts at a column of moments (unix seconds); nulls stay as they are."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, moments: pd.Series) -> pd.Series:
+        return pd.Series([enriched(x, datetime.fromtimestamp(int(t), timezone.utc)) if isinstance(x, str) and t == t and t is not None else x for x, t in zip(texts, moments)])
+
+    return run(text, ts)
+
+
+def mention_window(spoken: DataFrame, start: int, stop: int) -> DataFrame:
+    """Mentions that begin within [start, stop], in order of time."""
+    return spoken.where(F.col("start").between(start, stop)).orderBy("start", "frame_id", "char_start")
+
+
+def paired(marks: DataFrame) -> DataFrame:
+    """(frame_id, char_start, char_end, start, stop): range-start rows joined with range-end rows of the same place.
+
+    ``marks`` has frame_id, char_start, char_end, side ('start' or 'end') and moment; a side without its other gives no row.
+    """
+    place = ["frame_id", "char_start", "char_end"]
+    a = marks.where("side = 'start'").groupBy(*place).agg(F.min("moment").alias("start"))
+    b = marks.where("side = 'end'").groupBy(*place).agg(F.max("moment").alias("stop"))
+    return a.join(b, place).where("start <= stop").select(*place, "start", "stop")
+
+
+def effective(frames: DataFrame, anchored: DataFrame) -> DataFrame:
+    """Frames with ``effective_ts``: the time of their anchor (frame_id, anchor_ts), else their own."""
+    return frames.join(anchored.groupBy("frame_id").agg(F.max("anchor_ts").alias("_a")), "frame_id", "left").withColumn("effective_ts", F.coalesce("_a", "ts")).drop("_a")
+
+
 def within(frames: DataFrame, spoken: DataFrame, start: int, stop: int) -> DataFrame:
     """Frames that mention a time overlapping [start, stop], or, without any mention, were made in it."""
     hit = spoken.where((F.col("start") <= stop) & (F.col("stop") >= start)).select("frame_id").distinct().withColumn("_hit", F.lit(True))

@@ -107,13 +107,6 @@ query("filter_p12_time_travel", f"with {FRAMES} select frame_id, ts from frames
 query("filter_p10_uri_prefix", f"with {PLACED} select frame_id, uri from frames where starts_with(lower(uri), 'doc://atlas')")(lambda s, d: placed(s, d).where(compiler.uri_filter("doc://ATLAS")).select("frame_id", "uri"))
 
 
-@query("k5_fallback_score", f"""with {FRAMES} select frame_id, ((length(lower(search_text)) - length(replace(lower(search_text), 'merged', ''))) // 6
- + (length(lower(search_text)) - length(replace(lower(search_text), 'index', ''))) // 5 + case when contains(lower(search_text), 'merged index') then 1000 else 0 end)::bigint as score
- from frames where contains(lower(search_text), 'merged') and contains(lower(search_text), 'index')""")
-def k5(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.fallback_score(frames(spark, d), ["merged", "index"]).select("frame_id", F.col("score").cast("bigint").alias("score"))
-
-
 @query("k3_snippet_pages")
 def k3(spark: SparkSession, d: str) -> DataFrame:
     hits = lexical.top(lexical.recency(lexical.search(frames(spark, d), "snapshot ledger")), 20)
@@ -204,12 +197,6 @@ def m3(spark: SparkSession, d: str) -> DataFrame:
     return vectors.normalised_scores(_scored_lists(spark, d), ["query_id"]).select("query_id", "frame_id", F.round("norm", 6).alias("norm"))
 
 
-@query("a6_embedding_quality")
-def a6(spark: SparkSession, d: str) -> DataFrame:
-    q = vectors.quality(table(spark, d, "embeddings"))
-    return q.select("n_pairs", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "spread", "above_mean")])
-
-
 @query("a5_embedding_identities", "select vec_model, count(*) as frames from (select frame_id, arg_max(vec_model, added_at) as vec_model from vec_documents group by 1) group by 1")
 def a5(spark: SparkSession, d: str) -> DataFrame:
     v = latest(table(spark, d, "vec_documents").select("frame_id", "vec_model", "added_at"), ["frame_id"], ["added_at"])
@@ -246,17 +233,6 @@ def diversify(spark: SparkSession, d: str) -> DataFrame:
     return ranking.diversify(hits, "capsule", 24).select("place", "frame_id", "capsule")
 
 
-@query("k15_context")
-def k15(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.top(lexical.search(frames(spark, d), "cache OR index"), 60, "score")
-    return ranking.context(ranking.diversify(hits, "capsule", 24))
-
-
-@query("q7_citations")
-def q7(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.citations(lexical.top(lexical.recency(lexical.search(frames(spark, d), "snapshot ledger")), 10))
-
-
 @query("q6_promote_extremes", f"""with {bm25_sql(['snapshot', 'ledger'])}, h as (select *, row_number() over (order by round(score, 9) desc, frame_id) as r from scored where {_has('snapshot')} and {_has('ledger')} order by r limit 20),
 e as (select arg_min(frame_id, ts * 1000000 + frame_id) as ef, arg_max(frame_id, ts * 1000000 + frame_id) as el from h)
 select row_number() over (order by case when frame_id = ef then 0 when frame_id = el then 1 else 2 end, r) as rank, frame_id from h, e""")
@@ -361,20 +337,8 @@ def f3b(spark: SparkSession, d: str) -> DataFrame:
     return facts.slot_values(cards(spark, d), 1704800000).select("entity", "slot", "value", "eff_ts")
 
 
-@query("a7_slot_fold", f"""with {CARDS}, last as (select * from cards qualify row_number() over (partition by entity, slot, value order by eff_ts desc, card_id desc) = 1),
-r as (select entity, slot, arg_max(eff_ts, eff_ts * 100000000 + card_id) as rt, arg_max(card_id, eff_ts * 100000000 + card_id) as rc from cards where relation in ('sets', 'updates') group by all)
-select entity, slot, array_to_string(list_sort(list(value)), ',') as vals from last left join r using (entity, slot) where relation <> 'retracts' and (rt is null or (eff_ts, card_id) >= (rt, rc)) group by 1, 2""")
-def a7(spark: SparkSession, d: str) -> DataFrame:
-    return facts.slot_fold(cards(spark, d)).select("entity", "slot", F.array_join("values", ",").alias("vals"))
-
-
-@query("f4_superseded_cards", f"""with {CARDS} select card_id, superseded_by from (select card_id, first_value(case when relation in ('updates', 'retracts') then card_id end ignore nulls) over (partition by entity, slot order by eff_ts, card_id rows between 1 following and unbounded following) as superseded_by from cards) where superseded_by is not null""")
-def f4(spark: SparkSession, d: str) -> DataFrame:
-    return facts.superseded(cards(spark, d))
-
-
-@query("a10_schema_summary", f"""with {CARDS}, p as (select slot, entity, count(*) as n, count(distinct value) as d from cards group by 1, 2), v as (select slot, count(distinct value) as distinct_values from cards group by 1)
-select slot, count(*) as entities, sum(n)::bigint as values, any_value(distinct_values) as distinct_values, 'string' as value_type, case when max(d) > 1 then 'multiple' else 'single' end as cardinality from p join v using (slot) group by 1""")
+@query("a10_schema_summary", f"""with {CARDS}, p as (select slot, entity, count(*) as n from cards group by 1, 2), v as (select slot, count(distinct value) as distinct_values from cards group by 1)
+select slot, count(*) as entities, sum(n)::bigint as values, any_value(distinct_values) as distinct_values, 'string' as value_type, case when max(n) > 1 or any_value(distinct_values) > 1 then 'multiple' else 'single' end as cardinality, false as is_builtin from p join v using (slot) group by 1""")
 def a10(spark: SparkSession, d: str) -> DataFrame:
     return facts.schema_of(cards(spark, d))
 
@@ -411,8 +375,8 @@ SAID = [
 ]
 EXPECTED = [
     (1, "employer", "user", "employer", "Acme Labs"), (1, "name", "user", "name", "Dana Reyes"), (2, "location", "user", "location", "Porto, Portugal"), (2, "allergy", "user", "allergy", "peanuts"),
-    (3, "employer_works_at", "alice moore", "employer", "Globex"), (3, "location_lives", "alice moore", "location", "Berlin"), (4, "relationship_married", "bob", "spouse", "Carol"),
-    (4, "favorite", "bob", "favorite_color", "green"), (5, "food_like", "user", "food_preference", "green tea"), (5, "food_dislike", "user", "food_preference", "cold soup"), (7, "family", "user", "sister", "Clara"), (7, "age", "user", "age", "34"),
+    (3, "3p_employer_works_at", "alice moore", "employer", "Globex"), (3, "3p_location_lives", "alice moore", "location", "Berlin"), (4, "3p_relationship_married", "bob", "spouse", "Carol"),
+    (4, "3p_favorite", "bob", "favorite_color", "green"), (5, "food_like", "user", "food_preference", "green tea"), (5, "food_dislike", "user", "food_preference", "cold soup"), (7, "family", "user", "sister", "Clara"), (7, "age", "user", "age", "34"),
 ]
 
 
@@ -423,11 +387,6 @@ def f5(spark: SparkSession, d: str) -> DataFrame:
     return facts.extract(every).select("frame_id", "rule", "entity", "slot", "value")
 
 
-@query("f1_validate_cards", f"with {CARDS} select card_id, null::varchar as problem from cards")
-def f1(spark: SparkSession, d: str) -> DataFrame:
-    return facts.validate(cards(spark, d)).select("card_id", "problem")
-
-
 # Graph over region, nation, customer and supplier.
 def graph(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.format_string("n%d", "n_nationkey").alias("src"), F.format_string("r%d", "n_regionkey").alias("dst"), F.lit("in_region").alias("link"))
@@ -439,13 +398,6 @@ def graph(spark: SparkSession, d: str) -> DataFrame:
 EDGES = """edges as (select 'n' || n_nationkey as src, 'r' || n_regionkey as dst, 'in_region' as link from nation union all select 'c' || c_custkey, 'n' || c_nationkey, 'lives_in' from customer union all select 's' || s_suppkey, 'n' || s_nationkey, 'based_in' from supplier)"""
 
 
-@query("g2_follow", f"""with recursive {EDGES}, e as (select src as a, dst as b from edges union select dst, src from edges),
-w(node, hops) as (select 's1', 0 union select e.b, w.hops + 1 from w join e on e.a = w.node where w.hops < 2) select node, min(hops)::int as hops from w group by 1""")
-def g2(spark: SparkSession, d: str) -> DataFrame:
-    start = spark.createDataFrame([("s1",)], "node string")
-    return mesh.follow(graph(spark, d), start, 2)
-
-
 @query("a3_mesh_statistics", f"with {EDGES} select 'link' as what, link as kind, count(*) as n from edges group by 2 union all select 'node', left(node, 1), count(*) from (select src as node from edges union select dst from edges) group by 2")
 def a3(spark: SparkSession, d: str) -> DataFrame:
     e = graph(spark, d)
@@ -521,16 +473,6 @@ def contains_personal(spark: SparkSession, d: str) -> DataFrame:
 STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(T.STOP_WORDS))
 
 
-@query("a12_keywords", f"""with w as (select doc_id as frame_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9][a-z0-9''-]+)')) as word from documents),
-c as (select frame_id, word, count(*) as n from w where length(word) >= 3 and word not in ({STOPS}) and not regexp_full_match(word, '[0-9''-]+') group by all)
-select frame_id, word, n from c qualify row_number() over (partition by frame_id order by n desc, word) <= 12""")
-def a12(spark: SparkSession, d: str) -> DataFrame:
-    words = frames(spark, d).select("frame_id", F.explode(T.keywords(F.col("search_text"))).alias("word"))
-    counted = words.groupBy("frame_id", "word").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("frame_id").orderBy(F.desc("n"), "word")
-    return counted.withColumn("r", F.row_number().over(w)).where("r <= 12").select("frame_id", "word", "n")
-
-
 @query("t18_dates", f"with {PREVIEWS} select frame_id, unnest(list_distinct(list_concat(regexp_extract_all(coalesce(text, ''), '\\b((?:19|20)\\d{{2}})\\b', 1), regexp_extract_all(coalesce(text, ''), '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1)))) as date from previews")
 def t18(spark: SparkSession, d: str) -> DataFrame:
     return previews(spark, d).select("frame_id", F.explode(T.date_mentions(F.col("search_text"))).alias("date"))
@@ -632,38 +574,13 @@ SPOKEN = [
 ]
 
 
-@query("d3_phrases", "select phrase, epoch_us(a) // 1000000 as start, epoch_us(b) // 1000000 as stop from (values " + ", ".join(f"('{p}', timestamp '{a}', timestamp '{b}')" for p, a, b in SPOKEN) + ") as t(phrase, a, b)")
-def d3(spark: SparkSession, d: str) -> DataFrame:
-    found = [(p, *[int(x.timestamp()) for x in temporal.resolve(p, MOMENT)[:2]]) for p, _, _ in SPOKEN]
-    return spark.createDataFrame(found, "phrase string, start bigint, stop bigint")
-
-
 @query("d4_mentions")
 def d4(spark: SparkSession, d: str) -> DataFrame:
     a = latest(table(spark, d, "replay_actions").select("action_id", "ingested_at", "output_preview", epoch("ts").alias("seconds")), ["action_id"], ["ingested_at"])
     return temporal.mentions(a.select(F.col("action_id").alias("frame_id"), F.col("seconds").alias("ts"), F.col("output_preview").alias("search_text")))
 
 
-@query("d5_anchors", f"with {PREVIEWS} select frame_id, true as dated from previews where regexp_matches(coalesce(text, ''), '(^|[^0-9])(19|20)[0-9]{{2}}-(0[1-9]|1[0-2])-(0[1-9]|1[0-9]|2[0-8])([^0-9]|$)')")
-def d5(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.anchors(previews(spark, d)).where("anchor is not null").select("frame_id", F.lit(True).alias("dated")).distinct()
-
-
-@query("filter_p13_temporal", f"""with {FRAMES}, s as (select frame_id, ts as start, ts + 86400 * (frame_id % 9) as stop from frames where frame_id % 2 = 0)
-select frame_id from frames where frame_id in (select frame_id from s where start <= 1746000000 and stop >= 1745600000) or (frame_id not in (select frame_id from s) and ts between 1745600000 and 1746000000)""")
-def temporal_filter(spark: SparkSession, d: str) -> DataFrame:
-    f = frames(spark, d).select("frame_id", "ts")
-    spoken = f.where("frame_id % 2 = 0").select("frame_id", F.col("ts").alias("start"), F.expr("ts + 86400 * (frame_id % 9)").alias("stop"))  # stand-ins for mentions
-    return temporal.within(f, spoken, 1745600000, 1746000000).select("frame_id")
-
-
 # Structure, tables, exports.
-@query("t15_structure", r"select doc_id as frame_id, len(regexp_extract_all(coalesce(text, ''), '(?m)^#{1,6}[ \t]+\S')) as headings from documents where regexp_matches(coalesce(text, ''), '(?m)^#{1,6}[ \t]+\S')")
-def t15(spark: SparkSession, d: str) -> DataFrame:
-    e = frames(spark, d).select("frame_id", F.explode(structure.structure("search_text")).alias("e")).where("e.kind = 'heading'")
-    return e.groupBy("frame_id").agg(F.count("*").alias("headings"))
-
-
 @query("t16_structural_chunks")
 def t16(spark: SparkSession, d: str) -> DataFrame:
     return frames(spark, d).select("frame_id", F.posexplode(structure.structured("search_text")).alias("chunk_no", "chunk"))
@@ -697,24 +614,6 @@ def s20b(spark: SparkSession, d: str) -> DataFrame:
     return tables.row_chunks(sheets(spark, d))
 
 
-@query("s24_column_types", f"""with {SHEETS}, l as (select sheet_id, unnest(regexp_split_to_array(text, '\r?\n')[3:]) as line from s), p as (select sheet_id, unnest(string_split(line, ' | ')) as pair from l), c as (select sheet_id, regexp_extract(pair, '^([^:]+): (.*)$', 1) as col, trim(regexp_extract(pair, '^([^:]+): (.*)$', 2)) as value from p),
-k as (select sheet_id, col, case when try_cast(replace(value, ',', '') as double) is not null then 'number' when regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then 'date' when lower(value) in ('true', 'false', 'yes', 'no') then 'boolean' else 'text' end as kind from c where col <> '' and value <> ''),
-n as (select sheet_id, col, kind, count(*) as n from k group by all), b as (select sheet_id, col, arg_max(kind, n::varchar.lpad(9, '0') || kind) as kind, max(n) as top, sum(n) as total from n group by 1, 2)
-select sheet_id as table_id, col, case when total > top and total - top >= ceil(total * 0.3) then 'mixed' else kind end as value_type from b""")
-def s24(spark: SparkSession, d: str) -> DataFrame:
-    lines = sheets(spark, d).select("sheet_id", F.explode(F.slice(F.split("text", r"\r?\n"), 3, 1000000)).alias("line"))
-    pairs = lines.select("sheet_id", F.explode(F.split("line", r" \| ")).alias("pair"))
-    cells = pairs.select(F.col("sheet_id").alias("table_id"), F.regexp_extract("pair", r"^([^:]+): (.*)$", 1).alias("col"), F.trim(F.regexp_extract("pair", r"^([^:]+): (.*)$", 2)).alias("value"), F.lit(0).alias("row")).where("col <> ''")
-    return tables.column_types(cells)
-
-
-@query("m11_table_merge", "with t as (select * from (values (1, 'a', 1, 2, ['Name', 'Amount']), (2, 'a', 3, 3, ['name', 'Amount (EUR)']), (3, 'a', 6, 7, ['Name', 'Amount']), (4, 'b', 3, 3, ['Name', 'Amount']), (5, 'a', 4, 4, ['Other', 'Thing'])) as t(table_id, source, page_start, page_end, headers)) select 1::bigint as left_id, 2::bigint as right_id, 0.75::double as similarity")
-def m11(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "a", 1, 2, ["Name", "Amount"]), (2, "a", 3, 3, ["name", "Amount (EUR)"]), (3, "a", 6, 7, ["Name", "Amount"]), (4, "b", 3, 3, ["Name", "Amount"]), (5, "a", 4, 4, ["Other", "Thing"])]
-    t = spark.createDataFrame(rows, "table_id bigint, source string, page_start int, page_end int, headers array<string>")
-    return tables.merge_candidates(t, 0.7)
-
-
 @query("s25_csv_export", """select p_partkey || ',' || case when regexp_matches(p_name, '[",]') then '"' || replace(p_name, '"', '""') || '"' else p_name end || ',' || p_size as line from part""")
 def s25(spark: SparkSession, d: str) -> DataFrame:
     return sinks.csv_lines(table(spark, d, "part").select("p_partkey", "p_name", "p_size"))
@@ -725,13 +624,6 @@ def s25b(spark: SparkSession, d: str) -> DataFrame:
     return sinks.json_records(table(spark, d, "nation").select("n_nationkey", "n_name"))
 
 
-@query("s27_encrypted_round_trip", "select report_id, question from audit_reports qualify row_number() over (partition by report_id order by generated_at desc) = 1")
-def s27(spark: SparkSession, d: str) -> DataFrame:
-    key = sinks.derive_key("a test password", b"fixed salt 16 by")
-    a = latest(table(spark, d, "audit_reports").select("report_id", "question", "generated_at"), ["report_id"], ["generated_at"])
-    return sinks.decrypted(sinks.encrypted(a, "question", key), "question", key).select("report_id", "question")
-
-
 # Question answering.
 @query("q4_ask")
 def q4(spark: SparkSession, d: str) -> DataFrame:
@@ -776,12 +668,6 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
 WRITTEN = [("2024/05/03 (Fri) 14:30", "2024-05-03 14:30:00"), ("2024-05-03T10:00:00Z", "2024-05-03 10:00:00"), ("2024-05-03", "2024-05-03 00:00:00"), ("May 3rd, 2024", "2024-05-03 00:00:00"), ("3 May 2024", "2024-05-03 00:00:00"), ("1999", "1999-01-01 00:00:00"), ("soon", None)]
 
 
-@query("d1_content_dates", "select written, epoch_us(t::timestamp) // 1000000 as ts from (values " + ", ".join(f"('{w}', {repr(t) if t else 'null'})" for w, t in WRITTEN) + ") as v(written, t)")
-def d1(spark: SparkSession, d: str) -> DataFrame:
-    v = spark.createDataFrame([(w,) for w, _ in WRITTEN], "written string")
-    return v.select("written", T.content_date(F.col("written")).alias("ts"))
-
-
 @query("j2_value_types", "select value, case when try_cast(value as double) is not null then 'number' when regexp_matches(value, '^\\d{4}-\\d{2}-\\d{2}') then 'datetime' when lower(value) in ('true', 'false', 'yes', 'no') then 'boolean' else 'string' end as kind, count(*) as n from (select n_name as value from nation union all select o_orderstatus from orders union all select l_quantity::varchar from lineitem union all select 'yes' union all select '2024-01-01') group by 1, 2")
 def j2(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "nation").select(F.col("n_name").alias("value")).unionByName(table(spark, d, "orders").select(F.col("o_orderstatus").alias("value")))
@@ -794,13 +680,6 @@ def eligible(spark: SparkSession, d: str) -> DataFrame:
     return frames(spark, d).where(T.index_eligible(F.col("search_text"), F.lit("text/plain"), 20000)).select("frame_id")
 
 
-@query("filter_p18_images", "select * from (values (1::bigint), (5::bigint)) as t(frame_id)")
-def images(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, 640, 480, 0.2), (2, 32, 480, 0.2), (3, 64, 1000, 0.2), (4, 640, 480, 0.001), (5, 64, 640, 0.01), (6, None, 480, 0.2)]
-    v = spark.createDataFrame(rows, "frame_id bigint, width int, height int, variance double")
-    return v.where(T.worthwhile_image(F.col("width"), F.col("height"), F.col("variance"))).select("frame_id")
-
-
 @query("join_hits_stale", "select count(*) as hits, count(*) filter (h.frame_id not in (select frame_id from sketch_entries)) as stale from (select distinct query_frame_id, frame_id from vec_search_hits) h")
 def stale(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "vec_search_hits").select("query_frame_id", "frame_id").distinct()
@@ -816,13 +695,6 @@ def range_join(spark: SparkSession, d: str) -> DataFrame:
     return s.join(m, "frame_id").where("a < byte_end and byte_start < b").select("span_id", "mention_id")
 
 
-@query("join_parent_chunks", f"with {FRAMES}, c as (select frame_id, unnest(range(len(search_text) // 1000 + 1)) as chunk_index from frames where len(search_text) >= 2400) select frame_id, count(*) as chunks, max(chunk_index)::bigint as last from c group by 1")
-def parent_chunks(spark: SparkSession, d: str) -> DataFrame:
-    f = frames(spark, d).where(F.length("search_text") >= 2400)
-    parts = f.select("frame_id", F.explode(F.expr("sequence(0L, cast(length(search_text) div 1000 as bigint))")).alias("chunk_index"))
-    return f.select("frame_id").join(parts, "frame_id").groupBy("frame_id").agg(F.count("*").alias("chunks"), F.max("chunk_index").alias("last"))
-
-
 @query("k9_scoped_similarity", """with v as (select frame_id, arg_max(embedding, added_at)::double[64] as e from vec_documents where len(embedding) = 64 group by 1), q as (select e as qe from v order by frame_id limit 1), s as (select v.* from v join documents d on d.doc_id = v.frame_id where starts_with(capsule, 'atlas'))
 select frame_id, round(1 - array_distance(e, qe), 6) as similarity from s, q order by round(array_distance(e, qe), 9), frame_id limit 10""")
 def k9(spark: SparkSession, d: str) -> DataFrame:
@@ -833,48 +705,18 @@ def k9(spark: SparkSession, d: str) -> DataFrame:
     return near.select("frame_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("m12_compression", "select 64 * 4 as plain_bytes, 16 as code_bytes, round(64 * 4 / 16.0, 3)::double as ratio, count(*) as vectors from embeddings")
-def m12(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").agg(F.lit(256).alias("plain_bytes"), F.lit(16).alias("code_bytes"), F.lit(16.0).alias("ratio"), F.count("*").alias("vectors"))
-
-
 @query("a15_edge_dedup", "select l_suppkey as src, l_partkey as dst, l_returnflag as link, arg_min(l_quantity, (l_orderkey * 10 + l_linenumber) * 1000 + l_quantity) as confidence, min(l_orderkey * 10 + l_linenumber) as frame_id from lineitem group by 1, 2, 3")
 def a15(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("link"), F.col("l_quantity").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame_id"))
     return mesh.merge_edges(e)
 
 
-@query("f2_predicates", "select * from (values " + ", ".join(f"('{s}', '{t}', {str(m).lower()})" for s, t, m in facts.PREDICATES) + ") as t(slot, value_type, multiple)")
-def f2(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(facts.PREDICATES, "slot string, value_type string, multiple boolean")
-
-
-@query("g3_planned_triples", f"with {CARDS}, c as (select entity, slot, value from cards where relation <> 'retracts' qualify row_number() over (partition by entity, slot order by eff_ts desc, card_id desc) = 1) select 'user ' || 7 as entity, value from c where entity = 'user 7' and slot = 'click'")
-def g3(spark: SparkSession, d: str) -> DataFrame:
-    return facts.match_triple(facts.slot_values(cards(spark, d)), "User 7", "click").select("entity", "value")
-
-
-@query("g5_hybrid_search", f"""with {bm25_sql(['ledger'])}, t as (select frame_id, row_number() over (order by round(score, 9) desc, frame_id) as rank from scored order by rank limit 20), g as (select frame_id, row_number() over (order by frame_id) as rank from (select distinct frame_id from extracted_entities where lower(text) = 'harbor ledger') order by rank limit 20)
-select frame_id, round(sum(1.0::double / (60.0::double + rank)), 9) as fused, min(rank) as best_rank from (select * from t union all select * from g) group by 1""")
-def g5(spark: SparkSession, d: str) -> DataFrame:
-    a = lexical.top(lexical.search(frames(spark, d), "ledger"), 20, "score").select("frame_id", "rank")
-    b = table(spark, d, "extracted_entities").where("lower(text) = 'harbor ledger'").select("frame_id").distinct().orderBy("frame_id").limit(20)
-    return ranking.reciprocal_ranks([a, ranking.ranked(b, [F.asc("frame_id")])]).select("frame_id", F.round("fused", 9).alias("fused"), "best_rank")
-
-
 @query("t22_frame_context", "select doc_id as frame_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda t: t <> ''))::int as words, ((length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), 'snapshot', ''))) // 8)::bigint as snapshots from documents")
 def t22(spark: SparkSession, d: str) -> DataFrame:
     words = F.size(F.filter(F.split(F.coalesce("search_text", F.lit("")), r"\s+"), lambda t: t != ""))
     return frames(spark, d).select("frame_id", words.alias("words"), T.occurrences(F.col("search_text"), "snapshot").alias("snapshots"))
 
 
-@query("s16_formats", "select * from (values ('a.pdf', 'pdf'), ('b.docx', 'docx'), ('c.xlsm', 'xlsx'), ('d.xls', 'xls'), ('e.docx', 'text'), ('f.txt', 'text')) as t(path, format)")
-def s16(spark: SparkSession, d: str) -> DataFrame:
-    zipped = bytearray(b"PK\x03\x04..")
-    rows = [("a.pdf", bytearray(b"%PDF-1.7")), ("b.docx", zipped), ("c.xlsm", zipped), ("d.xls", bytearray(b"\xd0\xcf")), ("e.docx", bytearray(b"plain")), ("f.txt", bytearray(b"x"))]
-    return spark.createDataFrame(rows, "path string, content binary").select("path", readers.file_format(F.col("content"), F.col("path")).alias("format"))
-
-
 @query("s5_dimension_counts", "select len(embedding)::int as size, count(*) as n from vec_documents where embedding is not null group by 1")
 def s5(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "vec_documents").where("embedding is not null").groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
@@ -883,3 +725,6 @@ def s5(spark: SparkSession, d: str) -> DataFrame:
 @query("s12_vacuum", "select doc_id as frame_id, case when doc_id % 4 <> 0 then length(text) end as kept from documents")
 def s12(spark: SparkSession, d: str) -> DataFrame:
     return store.vacuum(frames(spark, d), "frame_id % 4 <> 0").select("frame_id", F.length("search_text").cast("bigint").alias("kept"))
+
+
+from tessera.plans import extended  # noqa: E402, F401  (registers its queries here)

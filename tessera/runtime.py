@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set (tests)."""
+    """The shared folder that the cluster names. Where none is set, a local one serves a local session only: on a cluster
+    each executor would write to a disk of its own, so that is an error."""
     found = spark.sparkContext.getCheckpointDir()
     if not found:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             found = os.path.join(os.environ.get("TMPDIR", "/tmp"), "tessera-checkpoints")
         spark.sparkContext.setCheckpointDir(found)
     return found

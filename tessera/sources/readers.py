@@ -19,15 +19,18 @@ A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def file_format(content: Column, path: Column) -> Column:
-    """pdf, docx, pptx, xlsx, xls or text, by magic bytes first and then the name."""
+def file_format(content: Column, path: Column, mime: Column | None = None) -> Column:
+    """pdf, docx, pptx, xlsx, xls or text: by magic bytes first, then the mime type if given, then the name."""
     head, low = F.substring(content, 1, 4), F.lower(path)
+    kind = F.coalesce(F.lower(mime), F.lit("")) if mime is not None else F.lit("")
     zipped = head == F.unhex(F.lit("504B0304"))
     return (
         F.when(head == F.unhex(F.lit("25504446")), "pdf")
         .when(zipped & low.endswith(".docx"), "docx")
         .when(zipped & low.endswith(".pptx"), "pptx")
         .when(zipped & (low.endswith(".xlsx") | low.endswith(".xlsm")), "xlsx")
+        .when(kind == "application/pdf", "pdf")
+        .when(kind == "application/vnd.ms-excel", "xls")
         .when(low.endswith(".xls"), "xls")
         .otherwise("text")
     )

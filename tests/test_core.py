@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import graph, hooks, structure, text
 from tessera.functions.stemmer import stem
-from tessera.operators import access, ask, facts, lexical, mesh, ranking, sketches, store, tables, temporal, vectors
+from tessera.operators import access, ask, facts, lexical, mesh, ranking, search, sketches, store, tables, temporal, vectors
 from tessera.plans import compiler, parser
 from tessera.runtime import latest, prefix_sums
 from tessera.sources import readers, sinks
@@ -117,7 +117,12 @@ def test_rules_and_slots(spark):
     now = {r.slot: r.value for r in facts.slot_values(c).collect()}
     assert now["location"] == "San Francisco"
     assert {r.slot: r.value for r in facts.slot_values(c, 1500).collect()}["location"] == "New York"
-    assert {r.slot: r["values"] for r in facts.slot_fold(c).collect()} == {"location": ["San Francisco"], "likes": ["nuts"]}
+    assert {r.slot: r["values"] for r in facts.slot_fold(c).collect()} == {"location": ["New York", "San Francisco"], "likes": ["nuts"]}
+    assert {r.slot: r["values"] for r in facts.slot_fold(c, newest_first=True).collect()} == {"location": ["New York", "San Francisco"], "likes": ["nuts", "tea"]}
+    kinds = {r.slot: (r.cardinality, r.is_builtin) for r in facts.schema_of(c.where("card_id < 3").unionByName(c.where("card_id = 6"))).collect()}
+    assert kinds == {"location": ("multiple", True), "likes": ("single", True)}
+    assert {r.entity: r.slots for r in facts.by_entity(c).collect()} == {"user": ["likes", "location"]}
+    assert {(r.card_id, r.superseded_by) for r in facts.superseded(c).collect()} == {(1, 2), (2, 3), (4, 5), (6, 4)} - {(6, 4)}
     assert facts.match_triple(facts.slot_values(c), value="francisco").count() == 1
     bad = spark.createDataFrame([(1, "u", "age", "old"), (2, "u", "age", "7")], "card_id bigint, entity string, slot string, value string")
     assert {r.card_id: r.problem for r in facts.validate(bad).collect()} == {1: "not a number", 2: None}
@@ -192,13 +197,22 @@ def test_mesh(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     start = spark.createDataFrame([("a",)], "node string")
     assert {r.node: r.hops for r in mesh.follow(e, start, 2, both=False).collect()} == {"a": 0, "b": 1, "c": 2}
+    w = spark.createDataFrame([("a", "b", "manager", 0.9), ("b", "c", "manager", 0.5), ("a", "c", "owner", 0.1), ("a", "d", "manager", None), (None, "d", "manager", 1.0)], "src string, dst string, link string, confidence double")
+    assert {(r.node, r.hops, round(r.confidence, 3)) for r in mesh.follow(w, start, 2, "managed_by").collect()} == {("a", 0, 1.0), ("b", 1, 0.9), ("d", 1, 1.0), ("c", 2, 0.45)}
+    assert sorted((r.node, r.hops) for r in mesh.follow(w, start, 2, both=False, all_paths=True).collect()) == [("a", 0), ("b", 1), ("c", 1), ("c", 2), ("d", 1)]
+    assert mesh.follow(w, start.limit(0), 2).count() == 0
 
 
 def test_sketches(spark):
     f = spark.createDataFrame([(1, "cats are wonderful pets and friends"), (2, "cats are wonderful pets and fiends"), (3, "programming in a rusty language")], "frame_id bigint, search_text string")
     h = {r.frame_id: r.simhash for r in sketches.simhash(sketches.term_weights(f)).collect()}
     assert (h[1] ^ h[2]).bit_count() < (h[1] ^ h[3]).bit_count()
-    assert all(1 <= len(r["filter"]) <= 18 for r in sketches.bloom(sketches.term_weights(f)).collect())
+    b = sketches.bloom(sketches.term_weights(f))
+    assert all(len(r["filter"]) == 4 and 1 <= sum((x & (1 << 64) - 1).bit_count() for x in r["filter"]) <= 18 for r in b.collect())
+    assert {r.frame_id for r in b.where(sketches.may_contain(F.col("filter"), F.lit("wonderful"))).collect()} >= {1, 2}
+    one = b.where("frame_id = 1").select(F.col("filter").alias("other"))
+    agreement = {r.frame_id: r.a for r in b.crossJoin(one).select("frame_id", sketches.filter_overlap(F.col("filter"), F.col("other")).alias("a")).collect()}
+    assert agreement[1] == 1.0 and agreement[2] > agreement[3]
 
 
 def test_access(spark):
@@ -214,6 +228,7 @@ def test_access(spark):
 def test_ask(memory):
     assert ask.sanitise("What is the quantum mechanics?") == "quantum mechanics" and ask.sanitise("who is it") == "who is it"
     assert ask.ladder("What are cells?")[0] == "cells"
+    assert ask.kinds("Is it nowhere in the countless summaries?") == set()
     assert "aggregation" in ask.kinds("How many cells are there?") and ask.triple("Where does Alice work?") == ("alice", "employer", None)
     r = ask.answer(memory, "What are quantum mechanics?").first()
     assert "Quantum mechanics" in r.answer and "[1]" in r.answer
@@ -289,3 +304,82 @@ def test_streams(spark, tmp_path):
     assert {(r.doc_id, r.line) for r in newest.collect()} == {(1, "later"), (2, "no date")}
 
 
+
+
+def test_best_section_counts(spark):
+    far = "merged once. " + "filler words here. " * 100 + "the index is there."
+    near = "filler words here. " * 100 + "merged index and merged again."
+    df = spark.createDataFrame([(1, far), (2, near), (3, None), (4, "")], "frame_id bigint, search_text string")
+    assert {r.frame_id: r.score for r in lexical.fallback_score(df, ["merged", "index"]).collect()} == {2: 1003}
+    assert ids(lexical.fallback_score(df, ["merged", "index"], section=False)) == [1, 2]
+
+
+def test_index_search_equals_scan(memory, spark, tmp_path):
+    for stemmed in (False, True):
+        lexical.build_index(memory, str(tmp_path / f"i{stemmed}"), 4, stemmed)
+    for q in ("mechanics physics", "quantum OR cells", "mechanics AND NOT quantum", '"classical mechanics"', "unknown"):
+        want = {r.frame_id: round(r.score, 9) for r in lexical.search(memory, q).collect()}
+        assert {r.frame_id: round(r.score, 9) for r in lexical.search_index(spark, str(tmp_path / "iFalse"), q).collect()} == want
+    assert ids(lexical.search_index(spark, str(tmp_path / "iTrue"), "mechanic unit")) == [] and ids(lexical.search_index(spark, str(tmp_path / "iTrue"), "describe AND motions")) == [2]
+    with pytest.raises(parser.QueryError):
+        lexical.search_index(spark, str(tmp_path / "iTrue"), "scope:mem://a")
+
+
+def test_search_requests(memory):
+    assert ids(search.run(memory, search.Request("mechanics", scope="mem://physics/q"))) == [1]
+    assert ids(search.run(memory, search.Request("mechanics", uri="MEM://PHYSICS"))) == [1, 2]
+    assert ids(search.run(memory, search.Request("mechanics OR cells", as_of_ts=NOW))) == [1, 2]
+    assert ids(search.run(memory, search.Request("mechanics", active="frame_id <> 1"))) == [2]
+    page = search.run(memory, search.Request("mechanics OR cells OR physics", top_k=1, cursor=1)).collect()
+    assert len(page) == 1 and page[0]["rank"] == 2 and page[0].total_hits == 3
+    assert ids(search.run(memory, search.Request("mechanics", cursor=5))) == []
+    assert ids(search.run(memory, search.Request("mechanics"), candidates=(memory.where("frame_id = 2"), None))) == [2]
+    assert ids(search.run(memory, search.Request("mechanics"), candidates=(memory.limit(0),))) == []
+    with pytest.raises(ValueError):
+        search.run(memory, search.Request("mechanics", cursor=-1))
+
+
+def test_store_views(spark):
+    long = "One line of text here.\n" * 200
+    f = spark.createDataFrame([(1, 10, "u", "T", long), (2, 20, "u", None, "short"), (3, 30, None, None, None)], "frame_id bigint, ts bigint, uri string, title string, search_text string")
+    parts = store.chunk_frames(f)
+    assert parts.where("chunk_index = 0").first().uri == "u#page-1" and parts.first().title.startswith("T (page 1/")
+    assert [(r.parent_id, r.search_text) for r in store.reassembled(parts).collect()] == [(1, long)]
+    assert [(r.frame_id) for r in store.by_uri(f, "frame_id = 1").collect()] == [1] and [(r.frame_id) for r in store.by_uri(f, "false").collect()] == [2]
+    assert store.capacity(f, 10).first().over and not store.capacity(f.limit(0), 10).first().over
+    with pytest.raises(Exception, match="numbers"):
+        vectors.of_width(spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "vec_id bigint, embedding array<float>"), 3).collect()
+
+
+def test_codes_of_odd_vectors(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 3.0]), (2, None), (3, [1.0])], "vec_id bigint, embedding array<float>")
+    book = vectors.train_codebook(np.array([[0.0, 1, 2, 3], [1, 1, 1, 1]]), 2, 2)
+    e = vectors.encode(df, book)
+    assert {r.vec_id: r.codes is None for r in e.collect()} == {1: False, 2: True, 3: True}
+    assert [r.vec_id for r in vectors.code_distance(e, book, [0.0, 1, 2, 3]).where("distance is not null").collect()] == [1]
+
+
+def test_workbooks_round_trip():
+    sheets = [("A & B", [["x", "", "1"], [], ["<y>", "z"]]), ("Two", [["q"] * 30])]
+    back = readers.xlsx_sheets(sinks.xlsx_bytes(sheets))
+    assert [n for n, _ in back] == ["A & B", "Two"] and back[0][1] == [["x", "", "1"], [], ["<y>", "z"]] and back[1][1] == [["q"] * 30]
+
+
+def test_checkpoint_folder_is_shared(spark):
+    from tessera import runtime
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError):
+        runtime.checkpoint_dir(Cluster)
