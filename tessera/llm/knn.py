@@ -232,7 +232,9 @@ def exact(vectors: DataFrame, queries: str, k: int = 5, width: int = 64, order:
     many = lambda rows, size: F.lit(max(1, -(-rows // size)))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_frame_id"), many(asked.count(), 1024)).cast("int"))
     blocks = asked.groupBy("block").agg(F.collect_list("query_frame_id").alias("qs"), F.collect_list("asked").alias("vs"))
-    parts = one.withColumn("part", F.pmod(F.xxhash64("frame_id"), many(one.count(), 4096)).cast("int")).groupBy("part").agg(F.collect_list("frame_id").alias("ids"), F.collect_list("embedding").alias("es"))
+    rows = one.count()
+    tasks = max(1, min(MOST_TASKS, rows // 16384))  # few parts a task, whatever the partitions are coalesced to
+    parts = one.withColumn("part", F.pmod(F.xxhash64("frame_id"), many(rows, 4096)).cast("int")).repartition(tasks, "part").groupBy("part").agg(F.collect_list("frame_id").alias("ids"), F.collect_list("embedding").alias("es"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
