@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import structure
 from tessera.functions import text as T
-from tessera.functions.stemmer import stem
 from tessera.model import epoch, event_log, frames
 from tessera.operators import access, ask, facts, lexical, mesh, ranking, replay, sketches, store, tables, temporal, vectors
 from tessera.plans import compiler, parser
-from tessera.runtime import latest, table
+from tessera.runtime import latest, maybe_broadcast, table
 from tessera.sources import readers, sinks
 from tessera.streaming import ingest
 
@@ -165,12 +164,15 @@ def k6_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored_lists(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "scored_index").where("retriever = 'bm25' and score is not null and not isnan(score)").groupBy("report_id", "frame_id").agg(F.max(F.col("score").cast("double")).alias("score"))
-    w = Window.partitionBy("report_id").orderBy(F.desc("score"), "frame_id")
-    return s.withColumn("pos", F.row_number().over(w) - 1).withColumnRenamed("report_id", "query_id")
+    """Every score list of every report, oriented so that higher is better."""
+    ways = maybe_broadcast(table(spark, d, "retrievers").select("retriever", "higher_is_better"))
+    s = table(spark, d, "scored_index").where("score is not null and not isnan(score)").join(ways, "retriever")
+    s = s.groupBy(F.concat_ws("/", "report_id", "retriever").alias("query_id"), "frame_id").agg(F.max(F.expr("cast(if(higher_is_better, score, -score) as double)")).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "frame_id")
+    return s.withColumn("pos", F.row_number().over(w) - 1)
 
 
-LISTS = """s as (select report_id as query_id, frame_id, max(score::double) as score from scored_index where retriever = 'bm25' and score is not null and not isnan(score) group by all),
+LISTS = """s as (select report_id || '/' || retriever as query_id, frame_id, max(case when higher_is_better then score::double else -score::double end) as score from scored_index join retrievers using (retriever) where score is not null and not isnan(score) group by all),
 b as (select *, row_number() over (partition by query_id order by score desc, frame_id) - 1 as pos, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi, count(*) over (partition by query_id) as n from s),
 m as (select *, case when hi - lo < 1.1920929e-07 then 1.0 else (score - lo) / (hi - lo) end as norm from b),
 l as (select *, lag(norm) over (partition by query_id order by pos) as prev from m)"""
@@ -308,10 +310,10 @@ def v1(spark: SparkSession, d: str) -> DataFrame:
     return store.verify(frames(spark, d))
 
 
-@query("interval_overlap_join", """with o as (select o_orderkey, o_custkey, epoch_us(o_orderdate) // 1000000 as start from orders where o_orderdate >= timestamp '1998-01-01'), s as (select *, start + 864000 as stop from o)
+@query("interval_overlap_join", """with o as (select o_orderkey, o_custkey, epoch_us(o_orderdate) // 1000000 as start from orders), s as (select *, start + 864000 as stop from o)
 select a.o_orderkey as left_key, b.o_orderkey as right_key from s a join s b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey and a.start <= b.stop and b.start <= a.stop""")
 def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderdate >= timestamp_ntz '1998-01-01'").select("o_orderkey", "o_custkey", epoch("o_orderdate").alias("start")).withColumn("stop", F.col("start") + 864000)
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", epoch("o_orderdate").alias("start")).withColumn("stop", F.col("start") + 864000)
     return store.overlaps(o, o, "o_custkey").where("l.o_orderkey < r.o_orderkey").select(F.col("l.o_orderkey").alias("left_key"), F.col("r.o_orderkey").alias("right_key"))
 
 
@@ -452,12 +454,12 @@ for _pattern, _to in T.MASKS:
 
 
 def previews(spark: SparkSession, d: str) -> DataFrame:
-    """The longer texts with personal data: output previews of the actions, as last delivered."""
-    a = latest(table(spark, d, "replay_actions").select("action_id", "ingested_at", "output_preview"), ["action_id"], ["ingested_at"])
-    return a.select(F.col("action_id").alias("frame_id"), F.col("output_preview").alias("search_text"))
+    """Texts with personal data: both previews of the actions, as last delivered."""
+    a = latest(table(spark, d, "replay_actions").select("action_id", "ingested_at", "input_preview", "output_preview"), ["action_id"], ["ingested_at"])
+    return a.select("action_id", F.posexplode(F.array("input_preview", "output_preview")).alias("k", "search_text")).select((F.col("action_id") * 2 + F.col("k")).alias("frame_id"), "search_text")
 
 
-PREVIEWS = "previews as (select action_id as frame_id, output_preview as text from replay_actions qualify row_number() over (partition by action_id order by ingested_at desc) = 1)"
+PREVIEWS = "latest as (select * from replay_actions qualify row_number() over (partition by action_id order by ingested_at desc) = 1), previews as (select action_id * 2 as frame_id, input_preview as text from latest union all select action_id * 2 + 1, output_preview from latest)"
 
 
 @query("t20_mask", f"with {PREVIEWS} select frame_id, {MASK_SQL} as masked from previews")
@@ -576,8 +578,8 @@ SPOKEN = [
 
 @query("d4_mentions")
 def d4(spark: SparkSession, d: str) -> DataFrame:
-    a = latest(table(spark, d, "replay_actions").select("action_id", "ingested_at", "output_preview", epoch("ts").alias("seconds")), ["action_id"], ["ingested_at"])
-    return temporal.mentions(a.select(F.col("action_id").alias("frame_id"), F.col("seconds").alias("ts"), F.col("output_preview").alias("search_text")))
+    a = latest(table(spark, d, "replay_actions").select("action_id", "ingested_at", "input_preview", "output_preview", epoch("ts").alias("ts")), ["action_id"], ["ingested_at"])
+    return temporal.mentions(a.select("action_id", "ts", F.posexplode(F.array("input_preview", "output_preview")).alias("k", "search_text")).withColumn("frame_id", F.col("action_id") * 2 + F.col("k")))
 
 
 # Structure, tables, exports.
@@ -588,13 +590,8 @@ def t16(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t6_stems")
 def t6(spark: SparkSession, d: str) -> DataFrame:
-    words = lexical.document_frequencies(frames(spark, d)).where("term rlike '^[a-z]+$'")
-
-    @F.pandas_udf("string")
-    def run(ws):
-        return ws.map(stem)
-
-    return words.select(run("term").alias("stem"), "df", "cf").groupBy("stem").agg(F.sum("cf").alias("cf"), F.count("*").alias("forms"))
+    words = lexical.document_frequencies(frames(spark, d))
+    return words.select(lexical.stems("term").alias("stem"), "df", "cf").groupBy("stem").agg(F.sum("cf").alias("cf"), F.count("*").alias("forms"))
 
 
 SHEETS = "s as (select * from xlsx_sheets qualify row_number() over (partition by sheet_id order by exported_at desc) = 1)"
@@ -646,7 +643,7 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_tumbling", f"select (({SECONDS}) // 21600 * 21600)::bigint as start, event_type, count(*) as n, round(sum(value), 3) as total from events group by 1, 2")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     s = ingest.source(spark, f"{d}/events.parquet").select(F.timestamp_seconds(epoch("ts")).alias("ts"), "event_type", "value")
-    out = ingest.run_to_table(ingest.tumbling(s, "ts", "6 hours", ["event_type"]), spark, "tumbling", "complete")
+    out = ingest.upsert(ingest.tumbling(s, "ts", "6 hours", ["event_type"]), ["start", "event_type"], "n", spark, "tumbling", mode="update")
     return out.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))
 
 

@@ -383,3 +383,18 @@ def test_checkpoint_folder_is_shared(spark):
 
     with pytest.raises(ValueError):
         runtime.checkpoint_dir(Cluster)
+
+
+def test_streams_go_on_and_rewrite_their_buckets(spark, tmp_path):
+    from tessera.streaming import ingest as streams
+
+    folder = str(tmp_path / "in")
+    put = lambda rows: spark.createDataFrame(rows, "k bigint, at bigint").coalesce(1).write.mode("append").parquet(folder)
+    put([(i, 1) for i in range(50)])
+    name = tmp_path.name.replace("-", "")
+    assert streams.upsert(streams.source(spark, folder), "k", "at", spark, "go", run=name).count() == 50
+    put([(3, 2), (3, 1), (77, 1)])
+    rows = {r.k: r.at for r in streams.upsert(streams.source(spark, folder), "k", "at", spark, "go", run=name).collect()}
+    assert len(rows) == 51 and rows[3] == 2 and rows[4] == 1
+    again = streams.upsert(streams.source(spark, folder), "k", "at", spark, "go", run=name)  # nothing new
+    assert again.count() == 51
