@@ -114,9 +114,12 @@ def upsert(stream: DataFrame, key: str | list[str], order: str, spark: SparkSess
     return found if found is not None else spark.createDataFrame([], schema)
 
 
-def anchored(stream: DataFrame, idle_days: int = 30) -> DataFrame:
-    """(doc_id, line, anchor) of (doc_id, line) rows: the running date of each document, kept as state between batches and
-    dropped when a document has had no line for ``idle_days``."""
+def anchored(stream: DataFrame, idle_days: int | None = None) -> DataFrame:
+    """(doc_id, line, anchor) of (doc_id, line) rows: the running date of each document, kept as state between batches.
+
+    With ``idle_days`` a document's state is dropped when it has had no line for so long. That is for a query that runs
+    on: one that stops when it has read everything would wait for its timeouts for ever.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -128,6 +131,7 @@ def anchored(stream: DataFrame, idle_days: int = 30) -> DataFrame:
             found, held = track(p["line"].tolist(), held)
             yield pd.DataFrame({"doc_id": key[0], "line": p["line"].tolist(), "anchor": found})
         state.update((held[0], held[1]))
-        state.setTimeoutDuration(idle_days * 86_400_000)
+        if idle_days is not None:
+            state.setTimeoutDuration(idle_days * 86_400_000)
 
-    return stream.groupBy("doc_id").applyInPandasWithState(step, "doc_id bigint, line string, anchor string", "anchor string, sure double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("doc_id").applyInPandasWithState(step, "doc_id bigint, line string, anchor string", "anchor string, sure double", "append", GroupStateTimeout.NoTimeout if idle_days is None else GroupStateTimeout.ProcessingTimeTimeout)
