@@ -78,10 +78,11 @@ def follow(edges: DataFrame, start: DataFrame, hops: int, link: str | None = Non
     if both:
         e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
     e = e.groupBy("a", "b").agg(F.max("c").alias("c"))
-    seen = frontier = cut(start.select("node").distinct().select("node", F.lit(0).alias("hops"), F.lit(1.0).alias("confidence")))
+    seen = frontier = start.select("node").distinct().select("node", F.lit(0).alias("hops"), F.lit(1.0).alias("confidence"))
     for i in range(1, hops + 1):
         step = e.join(maybe_broadcast(frontier.select(F.col("node").alias("a"), "confidence")), "a")
         step = step.groupBy(F.col("b").alias("node")).agg(F.max(F.col("c") * F.col("confidence")).alias("confidence")).select("node", F.lit(i).alias("hops"), "confidence")
-        frontier = cut(step if all_paths else step.join(seen.select("node"), "node", "left_anti"))
+        frontier = step if all_paths else step.join(seen.select("node"), "node", "left_anti")
+        frontier = cut(frontier) if i < hops else frontier  # the last one is read once
         seen = seen.unionByName(frontier)
     return seen
